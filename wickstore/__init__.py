@@ -11,6 +11,7 @@ from wickstore.schema import (
     register_record_type,
 )
 from wickstore.session import build_session
+from wickstore.sources.store import CandleStore
 
 
 __all__ = [
@@ -18,6 +19,7 @@ __all__ = [
     "NO_DATE",
     "YEAR_MONTH",
     "YEAR_MONTH_DAY",
+    "CandleStore",
 
     "RecordType",
     "SeriesKey",

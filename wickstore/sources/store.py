@@ -288,6 +288,15 @@ class CandleStore:
             terms.append(self._date() <= F.lit(hi.date()))
         return _all(terms)
 
+    def _scan_range(self, key, start, end, prune_dates: bool = True) -> DataFrame:
+        df = self._scan_series(key)
+        lo, hi = _as_datetime(start), _as_datetime(end)
+        if lo is not None:
+            df = df.filter(F.col(TS) >= F.lit(lo))
+        if hi is not None:
+            df = df.filter(F.col(TS) < F.lit(hi + dt.timedelta(milliseconds=1)))
+        return df.filter(self._dates_between(lo, hi)) if prune_dates else df
+
     def read_range(
         self,
         key: SeriesKey | None = None,
@@ -302,56 +311,56 @@ class CandleStore:
         ``timestamp`` comes back as epoch milliseconds. ``columns`` may leave out filter columns;
         by default it is the key, the record and extra columns.
         """
-        df = self._scan_series(key)
-        lo, hi = _as_datetime(start), _as_datetime(end)
-        if lo is not None:
-            df = df.filter(F.col(TS) >= F.lit(lo))
-        if hi is not None:
-            df = df.filter(F.col(TS) < F.lit(hi + dt.timedelta(milliseconds=1)))
-        if prune_dates:
-            df = df.filter(self._dates_between(lo, hi))
+        df = self._scan_range(key, start, end, prune_dates)
         if where:
             df = df.filter(conditions_to_column(where, {TS: timestamp_to_ms(F.col(TS))}))
-        return self._with_ms(df, columns or self._visible(df))
+        return _with_ms(df, columns or self._visible(df))
+
+    def read_latest_wins(
+        self,
+        key: SeriesKey | None = None,
+        start: int | dt.datetime | None = None,
+        end: int | dt.datetime | None = None,
+    ) -> DataFrame:
+        """A range read with one row per series and timestamp: the one ingested last."""
+        df = self._scan_range(key, start, end)
+        rows = _with_ms(df, [*self._visible(df), INGEST])
+        return top_row(rows, [*KEY, TS], [INGEST]).drop(INGEST)
 
     def _visible(self, df: DataFrame) -> list[str]:
         hidden = {*KEY, *self.layout.columns, INGEST, "_metadata"}
         return [*KEY, *[name for name in df.columns if name not in hidden]]
 
-    @staticmethod
-    def _with_ms(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-        return df.select(
-            *[
-                timestamp_to_ms(F.col(TS)).alias(TS) if name == TS else F.col(name)
-                for name in columns
-            ]
-        )
+    def _newest_dates(self, key: SeriesKey | None) -> DataFrame:
+        """Stored rows on the last date of their series.
 
-    def read_latest_wins(self, key: SeriesKey | None = None) -> DataFrame:
-        """One row per series and timestamp: the one ingested last."""
+        The last dates come from partition columns alone; only those dates are then read.
+        """
         df = self._scan_series(key)
-        rows = self._with_ms(df, [*self._visible(df), INGEST])
-        return top_row(rows, [*KEY, TS], [INGEST]).drop(INGEST)
+        if not self.layout.columns:
+            return df
+        columns = df.columns
+        last = cut_lineage(df.groupBy(*KEY).agg(F.max(self._date()).alias("_date")))
+        dates = last.select("_date").distinct().limit(MAX_LISTED + 1).collect()
+        listed = sorted(row["_date"] for row in dates)
+        if len(listed) > MAX_LISTED:
+            df = df.filter(self._date() >= F.lit(last.agg(F.min("_date")).first()[0]))
+        elif listed:
+            df = df.filter(self._date().isin(listed))
+        df = df.withColumn("_date", self._date()).join(last, [*KEY, "_date"], "left_semi")
+        return df.select(*columns)
 
     def latest(self, key: SeriesKey | None = None) -> DataFrame:
-        """The newest row of every matching series over its full history.
-
-        The last date of each series comes from partition columns alone; only those dates are
-        then read.
-        """
-        df = self._scan_series(key)
-        if self.layout.columns:
-            last = cut_lineage(df.groupBy(*KEY).agg(F.max(self._date()).alias("_date")))
-            dates = last.select("_date").distinct().limit(MAX_LISTED + 1).collect()
-            listed = sorted(row["_date"] for row in dates)
-            if len(listed) > MAX_LISTED:
-                df = df.filter(self._date() >= F.lit(last.agg(F.min("_date")).first()[0]))
-            elif listed:
-                df = df.filter(self._date().isin(listed))
-            df = df.withColumn("_date", self._date()).join(last, [*KEY, "_date"], "left_semi")
-        rows = self._with_ms(df, [*self._visible(df.drop("_date")), INGEST])
+        """The newest row of every matching series over its full history."""
+        df = self._newest_dates(key)
+        rows = _with_ms(df, [*self._visible(df), INGEST])
         return top_row(rows, KEY, [TS, INGEST]).drop(INGEST)
 
+    def last_timestamps(self, key: SeriesKey | None = None) -> DataFrame:
+        """``latest_ts`` of every matching series."""
+        newest = self._newest_dates(key).groupBy(*KEY).agg(F.max(TS).alias("_last"))
+        return newest.select(*KEY, timestamp_to_ms(F.col("_last")).alias("latest_ts"))
+
     # ----------------------------------------------------------------- catalog
 
     def series(self, key: SeriesKey | None = None) -> DataFrame:
@@ -420,6 +429,12 @@ def _all(terms: Iterable[Column]) -> Column:
     return functools.reduce(lambda a, b: a & b, terms, F.lit(True))
 
 
+def _with_ms(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    return df.select(
+        *[timestamp_to_ms(F.col(TS)).alias(TS) if name == TS else F.col(name) for name in columns]
+    )
+
+
 def _directory(levels_up: int = 0) -> Column:
     """Folder of the file a row came from, or an ancestor of it."""
     return F.regexp_replace(F.col("_metadata.file_path"), f"(/[^/]+){{{levels_up + 1}}}$", "")

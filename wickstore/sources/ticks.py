@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wickstore.functions.epoch import interval_to_ms
@@ -12,13 +12,12 @@ from wickstore.operators.reduce import wide_key
 from wickstore.schema import KEY, TS, VALUES
 
 
-def tick_aggregates(price: str, size: str, micros: str, tick_id: str, scale: int = 2) -> list:
-    """Open, high, low, close and volume of a group of ticks.
+def tick_aggregates(price: str, size: str, order: str, scale: int = 2) -> list[Column]:
+    """Open, high, low, close and volume of a group of ticks; open and close follow ``order``.
 
     Sizes are added as whole numbers of ``10**-scale``, so the sum is exact and the same for
-    every split of the data. Open and close follow (time, tick id).
+    every split of the data.
     """
-    order = wide_key(F.col(micros), F.col(tick_id))
     unit = float(10**scale)
     return [
         F.min_by(price, order).alias("open"),
@@ -35,24 +34,26 @@ def candles_from_ticks(
     price: str = "price",
     size: str = "size",
     micros: str = "micros",
-    tick_id: str = "tick_id",
+    tick_id: str | None = "tick_id",
     keys: Sequence[str] = ("data_type", "exchange", "coin"),
     scale: int = 2,
 ) -> DataFrame:
     """One candle per series and ``interval``.
 
     ``ticks`` has the ``keys``, an epoch-microsecond time, a whole-number id that orders ticks of
-    the same instant, a price and a size. One shuffle, of partial candles only.
+    the same instant, a price and a size. ``tick_id=None`` says that instants never repeat within
+    a series. One shuffle, of partial candles only.
     """
     step = interval_to_ms(interval)
     micros_step = step * 1000
     start = F.call_function(
         "div", F.col(micros) - F.pmod(F.col(micros), F.lit(micros_step)), F.lit(1000)
     )
+    order = F.col(micros) if tick_id is None else wide_key(F.col(micros), F.col(tick_id))
     return (
-        ticks.withColumn(TS, start)
+        ticks.select(*keys, start.alias(TS), order.alias("_order"), price, size)
         .groupBy(*keys, TS)
-        .agg(*tick_aggregates(price, size, micros, tick_id, scale))
+        .agg(*tick_aggregates(price, size, "_order", scale))
         .withColumn("interval", F.lit(interval))
         .select(*KEY, TS, *VALUES)
     )
