@@ -13,14 +13,12 @@ from wickstore.schema import (
 from wickstore.session import build_session
 from wickstore.sources.store import CandleStore
 
-
 __all__ = [
     "KEY",
     "NO_DATE",
     "YEAR_MONTH",
     "YEAR_MONTH_DAY",
     "CandleStore",
-
     "RecordType",
     "SeriesKey",
     "build_session",

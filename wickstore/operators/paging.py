@@ -153,7 +153,11 @@ def page(
 
 
 def page_of_one(
-    df: DataFrame, paging: Paging | None = None, ts: str = TS, unique: bool = True
+    df: DataFrame,
+    paging: Paging | None = None,
+    keys: Sequence[str] = KEY,
+    ts: str = TS,
+    unique: bool = True,
 ) -> DataFrame:
     """The page of a frame that holds a single series, in time order.
 
@@ -165,7 +169,7 @@ def page_of_one(
     if paging.limit is not None and paging.offset + paging.limit <= SHALLOW:
         order = [ts] if unique else [F.col(ts), row_hash(df.columns)]
         return df.orderBy(*order).offset(paging.offset).limit(paging.limit)
-    return with_position(df, paging, [], ts, unique).drop("position").orderBy(ts)
+    return with_position(df, paging, keys, ts, unique).drop("position").orderBy(ts)
 
 
 def chunks(
