@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,11 +47,24 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
+def cut_lineage(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back, in ``spark`` if given.
 
     Later stages then neither repeat the work nor depend on executors staying alive.
     """
-    path = scratch_path(df.sparkSession, "cut")
+    spark = spark or df.sparkSession
+    path = scratch_path(spark, "cut")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@contextlib.contextmanager
+def session_setting(df: DataFrame, name: str, value: str) -> Iterator[None]:
+    """Run the enclosed action with one setting changed in the session of ``df``."""
+    conf = df.sparkSession.conf
+    before = conf.get(name)
+    conf.set(name, value)
+    try:
+        yield
+    finally:
+        conf.set(name, before)

@@ -45,7 +45,7 @@ from wickstore.schema import (
     SeriesKey,
     record_type,
 )
-from wickstore.session import cut_lineage
+from wickstore.session import cut_lineage, session_setting
 
 logger = logging.getLogger(__name__)
 
@@ -170,7 +170,7 @@ class CandleStore:
         """
         rows = self._prepare(df, _ingest_id(ingest_id))
         if materialise:
-            rows = cut_lineage(rows)
+            rows = cut_lineage(rows, self.spark)
         self._store(self._only_new(rows), "append")
 
     def _store(self, rows: DataFrame, mode: str) -> None:
@@ -180,14 +180,16 @@ class CandleStore:
         if mode == "overwrite":
             self._replace_series(rows)
         else:
-            self._writer(rows).mode("append").parquet(self.root)
+            self._save(rows, "append")
 
-    def _writer(self, rows: DataFrame):
-        # Rebalancing gives each partition its own files, splits hot partitions and joins small
-        # ones; time order inside a file makes row-group statistics useful.
+    def _save(self, rows: DataFrame, mode: str, **options: str) -> None:
+        # Rebalancing sends a partition to one task and splits hot partitions. Joining small
+        # partitions is off: it would leave thousands of folders to one task. Time order inside
+        # a file makes row-group statistics useful.
         columns = self._partition_columns
         laid_out = rows.hint("rebalance", *columns).sortWithinPartitions(*columns, TS)
-        return laid_out.write.partitionBy(*columns)
+        with session_setting(rows, "spark.sql.adaptive.coalescePartitions.enabled", "false"):
+            laid_out.write.partitionBy(*columns).mode(mode).options(**options).parquet(self.root)
 
     def _replace_series(self, rows: DataFrame) -> None:
         """Overwrite the partitions in ``rows``, then drop older ones of the same series.
@@ -196,9 +198,7 @@ class CandleStore:
         """
         columns = self._partition_columns
         written = cut_lineage(rows.select(*columns).distinct())
-        self._writer(rows).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(
-            self.root
-        )
+        self._save(rows, "overwrite", partitionOverwriteMode="dynamic")
         if self.layout.columns:
             series = written.select(*KEY).distinct()
             stale = (
