@@ -112,9 +112,10 @@ def service_interval_ms(interval: Column) -> Column:
 def interval_to_ms(interval: str) -> int:
     """``interval_ms`` for one value on the driver; unknown is an error."""
     match = re.fullmatch(r"([0-9]+)(mo|m|h|d|w|y)", interval)
-    if not match or int(match.group(1)) == 0:
+    length = int(match.group(1)) * UNIT_MS[match.group(2)] if match else 0
+    if not 0 < length < 2**63:
         raise ValueError(f"invalid interval: {interval!r}")
-    return int(match.group(1)) * UNIT_MS[match.group(2)]
+    return length
 
 
 def floor_ms(ms: Column, step: int | Column) -> Column:

@@ -29,6 +29,7 @@ _FIXED_WIDTH = (
 )
 
 _ABOVE_LONG = Decimal(10**20)  # more than the range of a long
+_DIGEST_RANGE = Decimal(2**62)
 _LONG_SHIFT = Decimal(2**63)  # makes every long non-negative
 
 
@@ -42,7 +43,7 @@ def row_hash(columns: Sequence[str]) -> Column:
 
 
 def wide_key(major: Column, minor: Column) -> Column:
-    """Two longs as one decimal that sorts by ``major``, then ``minor``.
+    """Two longs as one decimal that sorts by ``major`` (below 10**17), then ``minor``.
 
     A fixed-width key keeps ``min_by`` / ``max_by`` inside a hash aggregate; a struct key would
     make every task sort its input first.
@@ -52,6 +53,12 @@ def wide_key(major: Column, minor: Column) -> Column:
     return (high + low).cast("decimal(38,0)")
 
 
+def _tie_key(major: Column, digest: Column) -> Column:
+    """As ``wide_key`` for any long ``major``, with 62 bits of a digest as the minor part."""
+    high = major.cast("decimal(19,0)") * F.lit(_DIGEST_RANGE)
+    return (high + F.shiftrightunsigned(digest, 2).cast("decimal(19,0)")).cast("decimal(38,0)")
+
+
 def top_row(
     df: DataFrame,
     keys: Sequence[str],
@@ -70,7 +77,7 @@ def top_row(
     order_cols = [F.coalesce(F.col(name).cast("bigint"), F.lit(0)) for name in order]
     types = {field.name: field.dataType for field in df.schema}
     if all(_fixed_width(types[name]) for name in rest) and len(order_cols) == 1:
-        keyed = df.withColumn("_order", wide_key(order_cols[0], digest))
+        keyed = df.withColumn("_order", _tie_key(order_cols[0], digest))
         picked = keyed.groupBy(*keys).agg(
             *[pick(F.col(name), F.col("_order")).alias(name) for name in rest]
         )

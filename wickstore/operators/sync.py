@@ -57,7 +57,7 @@ def increment(source: DataFrame, windows: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.min("sync_start").alias("lo"), F.max("sync_end").alias("hi")
     ).first()
     if not found.n:
-        return source.filter(F.lit(False))
+        return source.limit(0)
     few = found.n <= MAX_BROADCAST_ROWS
     rows = source.filter((F.col(TS) >= found.lo) & (F.col(TS) < found.hi))
     inside = (F.col(TS) >= F.col("sync_start")) & (F.col(TS) < F.col("sync_end"))

@@ -52,10 +52,30 @@ def cut_lineage(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
 
     Later stages then neither repeat the work nor depend on executors staying alive.
     """
-    spark = spark or df.sparkSession
+    return _write_and_read(df, spark or df.sparkSession)[0]
+
+
+def _write_and_read(df: DataFrame, spark: SparkSession) -> tuple[DataFrame, str]:
     path = scratch_path(spark, "cut")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+@contextlib.contextmanager
+def materialised(df: DataFrame, spark: SparkSession | None = None) -> Iterator[DataFrame]:
+    """As ``cut_lineage`` for work that ends inside the block; the copy is deleted afterwards."""
+    spark = spark or df.sparkSession
+    rows, path = _write_and_read(df, spark)
+    try:
+        yield rows
+    finally:
+        delete_path(spark, path)
+
+
+def delete_path(spark: SparkSession, uri: str) -> bool:
+    """Remove a file or folder through the Hadoop file system; False if it was not there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(uri))
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 @contextlib.contextmanager

@@ -16,7 +16,7 @@ import time
 from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
     DoubleType,
@@ -45,7 +45,7 @@ from wickstore.schema import (
     SeriesKey,
     record_type,
 )
-from wickstore.session import cut_lineage, session_setting
+from wickstore.session import cut_lineage, delete_path, materialised, session_setting
 
 logger = logging.getLogger(__name__)
 
@@ -160,18 +160,16 @@ class CandleStore:
             raise ValueError(f"unknown mode: {mode!r}")
         self._store(self._prepare(df, _ingest_id(ingest_id)), mode)
 
-    def append_new(
-        self, df: DataFrame, ingest_id: int | None = None, materialise: bool = True
-    ) -> None:
+    def append_new(self, df: DataFrame, ingest_id: int | None = None) -> None:
         """Append only rows whose (series, timestamp) is not stored yet; one row per timestamp.
 
-        Only the date range (and, if few, the series) of ``df`` is read from the store. ``df`` is
-        used several times, so it is written to scratch first unless ``materialise`` is off.
+        ``df`` is written to scratch first, as it is used several times and may come from this
+        very store. Only its date range (and, if few, its series) is read from the store.
         """
-        rows = self._prepare(df, _ingest_id(ingest_id))
-        if materialise:
-            rows = cut_lineage(rows, self.spark)
-        self._store(self._only_new(rows), "append")
+        with materialised(self._prepare(df, _ingest_id(ingest_id)), self.spark) as rows:
+            touched = self._touched(rows)
+            if touched is not None:
+                self._store(self._only_new(rows, touched), "append")
 
     def _store(self, rows: DataFrame, mode: str) -> None:
         rows, new = self._align(rows)
@@ -197,12 +195,14 @@ class CandleStore:
         Running it again after a failure ends in the same state.
         """
         columns = self._partition_columns
-        written = cut_lineage(rows.select(*columns).distinct())
-        self._save(rows, "overwrite", partitionOverwriteMode="dynamic")
-        if self.layout.columns:
+        with materialised(rows.select(*columns).distinct()) as written:
+            self._save(rows, "overwrite", partitionOverwriteMode="dynamic")
+            if not self.layout.columns:
+                return
             series = written.select(*KEY).distinct()
+            listed = series.limit(MAX_LISTED + 1).collect()
             stale = (
-                self._scan(self._series_bounds(series))
+                self._scan(_series_listed(listed))
                 .select(*columns, _directory().alias("directory"))
                 .distinct()
                 .join(series, list(KEY), "left_semi")
@@ -210,32 +210,23 @@ class CandleStore:
             )
             self._delete(stale.select("directory"))
 
-    def _only_new(self, rows: DataFrame) -> DataFrame:
+    def _only_new(self, rows: DataFrame, touched: Column) -> DataFrame:
         """Prepared rows that the store does not hold, one per series and timestamp."""
         keys = [*KEY, TS]
-        unique = top_row(rows, keys, [INGEST])
-        stored = self._scan(self._touched(rows)).select(*keys)
-        return unique.join(stored, keys, "left_anti")
-
-    def _touched(self, rows: DataFrame) -> Column:
-        """Static scan predicate covering every stored row that ``rows`` could meet."""
-        bounds = rows.agg(F.min(TS).alias("lo"), F.max(TS).alias("hi")).first()
-        if bounds.lo is None:
-            return F.lit(False)
-        return (
-            self._series_bounds(rows.select(*KEY).distinct())
-            & F.col(TS).between(F.lit(bounds.lo), F.lit(bounds.hi))
-            & self._dates_between(bounds.lo, bounds.hi)
-        )
-
-    def _series_bounds(self, series: DataFrame) -> Column:
-        """Per-column value lists for a small set of series; no restriction for a large one."""
-        listed = series.limit(MAX_LISTED + 1).collect()
+        stored = self._scan(touched).select(*keys)
+        return top_row(rows, keys, [INGEST]).join(stored, keys, "left_anti")
+
+    def _touched(self, rows: DataFrame) -> Column | None:
+        """Static predicate for every stored row ``rows`` could meet; None when there are none."""
+        ms = timestamp_to_ms(F.col(TS))
+        bounds = [F.min(ms).alias("lo"), F.max(ms).alias("hi")]
+        listed = rows.groupBy(*KEY).agg(*bounds).limit(MAX_LISTED + 1).collect()
         if not listed:
-            return F.lit(False)
-        if len(listed) > MAX_LISTED:
-            return F.lit(True)
-        return _all(F.col(name).isin(sorted({row[name] for row in listed})) for name in KEY)
+            return None
+        spans = listed if len(listed) <= MAX_LISTED else [rows.agg(*bounds).first()]
+        lo = _as_datetime(min(row.lo for row in spans))
+        hi = _as_datetime(max(row.hi for row in spans))
+        return _series_listed(listed) & _instants(lo, hi) & self._dates_between(lo, hi)
 
     # -------------------------------------------------------------------- read
 
@@ -291,10 +282,7 @@ class CandleStore:
     def _scan_range(self, key, start, end, prune_dates: bool = True) -> DataFrame:
         df = self._scan_series(key)
         lo, hi = _as_datetime(start), _as_datetime(end)
-        if lo is not None:
-            df = df.filter(F.col(TS) >= F.lit(lo))
-        if hi is not None:
-            df = df.filter(F.col(TS) < F.lit(hi + dt.timedelta(milliseconds=1)))
+        df = df.filter(_instants(lo, hi))
         return df.filter(self._dates_between(lo, hi)) if prune_dates else df
 
     def read_range(
@@ -402,8 +390,9 @@ class CandleStore:
     def drop_series(self, keys: DataFrame) -> int:
         """Delete the folders of the given series; series that are not stored are skipped."""
         wanted = keys.select(*[normalise(name, F.col(name)).alias(name) for name in KEY])
+        listed = wanted.distinct().limit(MAX_LISTED + 1).collect()
         folders = (
-            self._scan(self._series_bounds(wanted.distinct()))
+            self._scan(_series_listed(listed))
             .select(*KEY, _directory(len(self.layout.columns)).alias("directory"))
             .distinct()
             .join(wanted, list(KEY), "left_semi")
@@ -415,14 +404,16 @@ class CandleStore:
         return dropped
 
     def _delete(self, directories: DataFrame) -> int:
-        """Remove folders through the Hadoop file system; metadata calls only."""
-        hadoop = self.spark._jvm.org.apache.hadoop.fs
-        conf = self.spark._jsc.hadoopConfiguration()
-        removed = 0
-        for row in directories.toLocalIterator():
-            path = hadoop.Path(self.spark._jvm.java.net.URI(row.directory))
-            removed += bool(path.getFileSystem(conf).delete(path, True))
-        return removed
+        return sum(
+            delete_path(self.spark, row.directory) for row in directories.toLocalIterator()
+        )
+
+
+def _series_listed(listed: Sequence[Row]) -> Column:
+    """Value lists per key column for a short list of series; no restriction for a long one."""
+    if len(listed) > MAX_LISTED:
+        return F.lit(True)
+    return _all(F.col(name).isin(sorted({row[name] for row in listed})) for name in KEY)
 
 
 def _all(terms: Iterable[Column]) -> Column:
@@ -440,6 +431,14 @@ def _directory(levels_up: int = 0) -> Column:
     return F.regexp_replace(F.col("_metadata.file_path"), f"(/[^/]+){{{levels_up + 1}}}$", "")
 
 
+def _instants(lo: dt.datetime | None, hi: dt.datetime | None) -> Column:
+    """Closed range on the stored timestamps, to the whole millisecond."""
+    terms = [] if lo is None else [F.col(TS) >= F.lit(lo)]
+    if hi is not None:
+        terms.append(F.col(TS) < F.lit(hi + dt.timedelta(milliseconds=1)))
+    return _all(terms)
+
+
 def _ingest_id(given: int | None) -> int:
     return time.time_ns() // 1000 if given is None else given
 

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from wickstore.functions.epoch import interval_to_ms
 from wickstore.operators.reduce import wide_key
 from wickstore.schema import KEY, TS, VALUES
-from wickstore.session import cut_lineage
+from wickstore.session import materialised
 from wickstore.sources.store import CandleStore
 from wickstore.sources.ticks import tick_aggregates
 
@@ -81,7 +81,8 @@ def stream_candles(
     def upsert(batch: DataFrame, _batch_id: int) -> None:
         # A micro-batch runs without adaptive execution, which the store's file layout relies on;
         # the rows move to the store's own session.
-        store.write(cut_lineage(batch, store.spark), "append")
+        with materialised(batch, store.spark) as rows:
+            store.write(rows, "append")
 
     writer = candles.writeStream.outputMode("update").foreachBatch(upsert)
     return _start(writer, checkpoint, trigger or {"availableNow": True})
