@@ -125,7 +125,7 @@ def test_gap_scenario(spark, store):
     assert store.read_range(BTC, DAY_1, DAY_1 + DAY_MS - 1).count() == 24
     eleven = day_3 + 11 * HOUR_MS
     assert store.read_range(BTC, eleven, eleven).count() == 2
-    assert [row.open for row in store.read_latest_wins(BTC, eleven, eleven).collect()] == [1001.0]
+    assert [row.open for row in store.read_latest_wins(BTC, eleven, eleven).collect()] == [1002.0]
     assert store.read_latest_wins(BTC).count() == 74
 
 

@@ -92,6 +92,11 @@ def _number_any(df, starts, keys, ts, bucket_ms, paging) -> DataFrame:
     digest = row_hash(columns)
     slot = F.shiftrightunsigned(digest, 58)
     group = [*keys, ts, "_slot"]
+    if paging.has_pagination():
+        # Only rows of the buckets the page overlaps take part in what follows.
+        touched = starts.select(*keys, "_bucket")
+        bucketed = df.withColumn("_bucket", _bucket(ts, bucket_ms))
+        df = bucketed.join(touched, [*keys, "_bucket"], "left_semi").select(*columns)
 
     # Rows of one timestamp are spread over up to 64 digest ranges; each range gets its start.
     sizes = (

@@ -1,4 +1,4 @@
-"""Pick one whole row per group without collecting or sorting the group."""
+"""Pick one whole row per group without collecting the group or sending it to one task."""
 
 from __future__ import annotations
 
@@ -7,38 +7,13 @@ from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import (
-    BooleanType,
-    DataType,
-    DateType,
-    DecimalType,
-    FractionalType,
-    IntegralType,
-    TimestampNTZType,
-    TimestampType,
-)
-
-_FIXED_WIDTH = (
-    BooleanType,
-    DateType,
-    DecimalType,
-    FractionalType,
-    IntegralType,
-    TimestampNTZType,
-    TimestampType,
-)
 
 _ABOVE_LONG = Decimal(10**20)  # more than the range of a long
-_DIGEST_RANGE = Decimal(2**62)
 _LONG_SHIFT = Decimal(2**63)  # makes every long non-negative
 
 
-def _fixed_width(data_type: DataType) -> bool:
-    return isinstance(data_type, _FIXED_WIDTH)
-
-
 def row_hash(columns: Sequence[str]) -> Column:
-    """A 64-bit digest of the named columns, used only to break ties the same way every time."""
+    """A 64-bit digest of the named columns."""
     return F.xxhash64(*[F.col(name) for name in columns])
 
 
@@ -53,38 +28,13 @@ def wide_key(major: Column, minor: Column) -> Column:
     return (high + low).cast("decimal(38,0)")
 
 
-def _tie_key(major: Column, digest: Column) -> Column:
-    """As ``wide_key`` for any long ``major``, with 62 bits of a digest as the minor part."""
-    high = major.cast("decimal(19,0)") * F.lit(_DIGEST_RANGE)
-    return (high + F.shiftrightunsigned(digest, 2).cast("decimal(19,0)")).cast("decimal(38,0)")
-
-
-def top_row(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    largest: bool = True,
-) -> DataFrame:
-    """The row with the largest (or smallest) ``order`` values in each ``keys`` group.
+def top_row(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The row with the largest ``order`` values in each ``keys`` group; null sorts first.
 
-    ``order`` holds one or two whole-number columns. Equal rows are told apart by a digest, so
-    the choice does not depend on how the data is split. Partial aggregation leaves one row per
-    group and task before the shuffle, so a group of any size is safe.
+    Equal rows are told apart by their other columns, so the choice does not depend on how the
+    data is split. Partial aggregation leaves one row per group and task before the shuffle, so a
+    group of any size is safe.
     """
-    rest = [name for name in df.columns if name not in keys]
-    pick = F.max_by if largest else F.min_by
-    digest = row_hash(rest)
-    order_cols = [F.coalesce(F.col(name).cast("bigint"), F.lit(0)) for name in order]
-    types = {field.name: field.dataType for field in df.schema}
-    if all(_fixed_width(types[name]) for name in rest) and len(order_cols) == 1:
-        keyed = df.withColumn("_order", _tie_key(order_cols[0], digest))
-        picked = keyed.groupBy(*keys).agg(
-            *[pick(F.col(name), F.col("_order")).alias(name) for name in rest]
-        )
-    else:
-        picked = (
-            df.groupBy(*keys)
-            .agg(pick(F.struct(*rest), F.struct(*order_cols, digest)).alias("_row"))
-            .select(*keys, "_row.*")
-        )
-    return picked.select(*df.columns)
+    rest = [name for name in df.columns if name not in keys and name not in order]
+    top = df.groupBy(*keys).agg(F.max(F.struct(*order, *rest)).alias("_row"))
+    return top.select(*keys, "_row.*").select(*df.columns)

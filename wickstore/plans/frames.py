@@ -56,8 +56,8 @@ def raw_pages(candle_rows: DataFrame) -> DataFrame:
 def markets(candle_rows: DataFrame) -> DataFrame:
     """Coins the exchange lists: all but the alphabetically last one."""
     coins = candle_rows.select("exchange", "coin").distinct()
-    last = coins.groupBy("exchange").agg(F.max("coin").alias("last_coin"))
-    return coins.join(last, "exchange").filter("coin <> last_coin").select("exchange", "coin")
+    last = coins.groupBy("exchange").agg(F.max("coin").alias("coin"))
+    return coins.join(last, ["exchange", "coin"], "left_anti")
 
 
 def requested(candle_rows: DataFrame) -> DataFrame:
