@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from wickstore.functions.candles import repaired_high, repaired_low
 from wickstore.schema import CANDLE_RECORD, HOUR_MS, KEY, KEY_FIELDS, TS
-from pyspark.sql.types import StructType
 
 DAY_1 = 1704067200000  # 2024-01-01 00:00 UTC
 SCHEMA = StructType([*KEY_FIELDS, *CANDLE_RECORD.schema.fields])
@@ -26,6 +28,21 @@ def hours(first: int, count: int, coin: str = "BTC_USD", skip: tuple = ()) -> li
     ]
 
 
+def synthetic(spark: SparkSession, first: int, periods: int, step: int, seed: int) -> DataFrame:
+    """A full grid of random candles whose high and low are repaired around open and close."""
+    raw = spark.range(periods).select(
+        *[F.lit(cell).alias(name) for name, cell in zip(KEY, candle(0)[:4])],
+        (F.lit(first) + F.col("id") * step).alias(TS),
+        (F.rand(seed) * 100 + 50_000).alias("open"),
+        (F.rand(seed + 1) * 10 + 50_100).alias("high"),
+        (F.rand(seed + 2) * 10 + 49_900).alias("low"),
+        (F.rand(seed + 3) * 100 + 50_000).alias("close"),
+        (F.rand(seed + 4) * 10 + 100).alias("volume"),
+        F.col("id").alias("value"),
+    )
+    return raw.withColumns({"high": repaired_high(), "low": repaired_low()})
+
+
 def stamps(df: DataFrame, column: str = TS) -> list[int]:
     return sorted(row[column] for row in df.select(column).collect())
 

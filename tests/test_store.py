@@ -5,7 +5,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from helpers import DAY_1, as_tuples, candle, frame, hours, stamps
+from helpers import DAY_1, as_tuples, candle, frame, hours, stamps, synthetic
 from wickstore import NO_DATE, YEAR_MONTH, CandleStore, SeriesKey
 from wickstore.operators import gaps, sets
 from wickstore.schema import DAY_MS, HOUR_MS, KEY, TS, VALUES
@@ -246,3 +246,30 @@ def test_scan_skips_files_by_date_and_series(spark, store):
     plan = store.read_range(BTC, *two_days, columns=["close"])._jdf.queryExecution().toString()
     assert "PushedFilters: [IsNotNull(timestamp), GreaterThanOrEqual(timestamp" in plan
     assert "ReadSchema: struct<timestamp:timestamp,close:double>" in plan
+
+
+def test_synthetic_grid_round_trip(spark, store):
+    grid = synthetic(spark, DAY_1, 200, HOUR_MS // 4, seed=7)
+    assert grid.filter("high < greatest(open, close) or low > least(open, close)").isEmpty()
+    store.write(grid)
+    only_in, only_out = sets.differences(grid, store.read_range())
+    assert only_in.isEmpty() and only_out.isEmpty()
+    assert gaps.missing_timestamps(store.read_range(), HOUR_MS // 4).isEmpty()
+
+
+def test_many_series_use_the_wider_scan(spark, store, monkeypatch):
+    """Beyond the listing limits the predicates are wider and the results the same."""
+    from wickstore.sources import store as module
+
+    rows = frame(spark, [row for n in range(6) for row in hours(DAY_1, 4, f"C{n}")])
+    for listed, folders in ((1000, 3), (3, 100)):
+        monkeypatch.setattr(module, "MAX_LISTED", listed)
+        monkeypatch.setattr(module, "MAX_FOLDERS", folders)
+        fresh = CandleStore(spark, f"{store.root}-{listed}")
+        fresh.append_new(rows.filter(F.col(TS) < DAY_1 + 2 * HOUR_MS))
+        fresh.append_new(rows)
+        assert fresh.read_range().count() == 24
+        assert fresh.latest().count() == 6
+        assert fresh.last_timestamps(rows.select(*KEY)).count() == 6
+        assert fresh.drop_series(rows.select(*KEY).filter("coin <> 'C0'").distinct()) == 5
+        assert [row.coin for row in fresh.series().collect()] == ["C0"]

@@ -78,8 +78,9 @@ def plan_sync(
     span counts as empty.
     """
     wanted = requested.select(*[normalise(name, F.col(name)).alias(name) for name in KEY])
+    wanted = wanted.distinct()
     if lookback_ms is None:
-        newest = store.last_timestamps()
+        newest = store.last_timestamps(wanted)
     else:
         now = to_ms(as_of)
         newest = (
@@ -87,7 +88,7 @@ def plan_sync(
             .groupBy(*KEY)
             .agg(F.max(TS).alias("latest_ts"))
         )
-    return sync_windows(wanted.distinct(), newest, as_of, backfill_ms)
+    return sync_windows(wanted, newest, as_of, backfill_ms)
 
 
 def sync(

@@ -72,12 +72,23 @@ def materialised(df: DataFrame, spark: SparkSession | None = None) -> Iterator[D
         delete_path(spark, path)
 
 
-def delete_path(spark: SparkSession, uri: str) -> bool:
+def hadoop_path(spark: SparkSession, name: str, encoded: bool = False):
+    """A Hadoop path; ``encoded`` for names as ``_metadata.file_path`` reports them."""
+    text = spark._jvm.java.net.URI(name) if encoded else name
+    return spark._jvm.org.apache.hadoop.fs.Path(text)
+
+
+def delete_path(spark: SparkSession, name: str, encoded: bool = False) -> bool:
     """Remove a file or folder through the Hadoop file system; False if it was not there."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(uri))
+    path = hadoop_path(spark, name, encoded)
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def path_exists(spark: SparkSession, name: str) -> bool:
+    path = hadoop_path(spark, name)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 @contextlib.contextmanager
 def session_setting(df: DataFrame, name: str, value: str) -> Iterator[None]:
     """Run the enclosed action with one setting changed in the session of ``df``."""

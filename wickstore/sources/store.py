@@ -45,12 +45,20 @@ from wickstore.schema import (
     SeriesKey,
     record_type,
 )
-from wickstore.session import cut_lineage, delete_path, materialised, session_setting
+from wickstore.session import (
+    cut_lineage,
+    delete_path,
+    materialised,
+    path_exists,
+    session_setting,
+)
 
 logger = logging.getLogger(__name__)
 
 # Values named one by one in a scan predicate; beyond this a wider predicate is used instead.
 MAX_LISTED = 1_000
+# Series folders opened one by one; beyond this the whole table is listed, in parallel.
+MAX_FOLDERS = 100
 _PLAIN = re.compile(r"[A-Za-z0-9_.\-]+")
 
 
@@ -167,9 +175,9 @@ class CandleStore:
         very store. Only its date range (and, if few, its series) is read from the store.
         """
         with materialised(self._prepare(df, _ingest_id(ingest_id)), self.spark) as rows:
-            touched = self._touched(rows)
-            if touched is not None:
-                self._store(self._only_new(rows, touched), "append")
+            fresh = self._only_new(rows)
+            if fresh is not None:
+                self._store(fresh, "append")
 
     def _store(self, rows: DataFrame, mode: str) -> None:
         rows, new = self._align(rows)
@@ -200,9 +208,8 @@ class CandleStore:
             if not self.layout.columns:
                 return
             series = written.select(*KEY).distinct()
-            listed = series.limit(MAX_LISTED + 1).collect()
             stale = (
-                self._scan(_series_listed(listed))
+                self._scan_listed(self._listed(series))
                 .select(*columns, _directory().alias("directory"))
                 .distinct()
                 .join(series, list(KEY), "left_semi")
@@ -210,14 +217,16 @@ class CandleStore:
             )
             self._delete(stale.select("directory"))
 
-    def _only_new(self, rows: DataFrame, touched: Column) -> DataFrame:
+    def _only_new(self, rows: DataFrame) -> DataFrame | None:
         """Prepared rows that the store does not hold, one per series and timestamp."""
         keys = [*KEY, TS]
-        stored = self._scan(touched).select(*keys)
-        return top_row(rows, keys, [INGEST]).join(stored, keys, "left_anti")
+        stored = self._scan_near(rows)
+        if stored is None:
+            return None
+        return top_row(rows, keys, [INGEST]).join(stored.select(*keys), keys, "left_anti")
 
-    def _touched(self, rows: DataFrame) -> Column | None:
-        """Static predicate for every stored row ``rows`` could meet; None when there are none."""
+    def _scan_near(self, rows: DataFrame) -> DataFrame | None:
+        """Every stored row ``rows`` could meet, by constant bounds; None for no rows."""
         ms = timestamp_to_ms(F.col(TS))
         bounds = [F.min(ms).alias("lo"), F.max(ms).alias("hi")]
         listed = rows.groupBy(*KEY).agg(*bounds).limit(MAX_LISTED + 1).collect()
@@ -226,30 +235,43 @@ class CandleStore:
         spans = listed if len(listed) <= MAX_LISTED else [rows.agg(*bounds).first()]
         lo = _as_datetime(min(row.lo for row in spans))
         hi = _as_datetime(max(row.hi for row in spans))
-        return _series_listed(listed) & _instants(lo, hi) & self._dates_between(lo, hi)
+        return self._scan_listed(listed).filter(_instants(lo, hi) & self._dates_between(lo, hi))
 
     # -------------------------------------------------------------------- read
 
-    def _scan(self, condition: Column | None = None, path: str | None = None) -> DataFrame:
-        """The stored rows as written; an absent store or sub-folder is an empty frame."""
+    def _scan(self, *paths: str) -> DataFrame:
+        """The stored rows under ``paths`` (default: all) as written; absent paths hold no rows."""
         schema = self.schema()
         try:
-            df = (
+            return (
                 self.spark.read.schema(schema)
                 .option("basePath", self.root)
-                .parquet(path or self.root)
+                .parquet(*(paths or [self.root]))
             )
         except AnalysisException as error:
             if not _is_missing(error):
                 raise
-            df = self.spark.createDataFrame([], schema).withColumn(
-                "_metadata", F.struct(F.lit(None).cast("string").alias("file_path"))
-            )
-        return df if condition is None else df.filter(condition)
+        empty = F.struct(F.lit(None).cast("string").alias("file_path"))
+        return self.spark.createDataFrame([], schema).withColumn("_metadata", empty)
+
+    def _scan_listed(self, listed: Sequence[Row]) -> DataFrame:
+        """Rows of a short list of series; of every series when the list is cut off.
+
+        A few series are listed folder by folder, so planning does not walk the whole table.
+        """
+        if len(listed) > MAX_LISTED:
+            return self._scan()
+        wanted = _all(F.col(name).isin(sorted({row[name] for row in listed})) for name in KEY)
+        paths = [self._series_path({name: row[name] for name in KEY}) for row in listed]
+        if len(paths) > MAX_FOLDERS:
+            return self._scan().filter(wanted)
+        found = [path for path in dict.fromkeys(paths) if path_exists(self.spark, path)]
+        inner = [path for path in found if not any(path.startswith(f"{up}/") for up in found)]
+        return self._scan(*inner).filter(wanted if found else F.lit(False))
 
     def _scan_series(self, key: SeriesKey | None) -> DataFrame:
         given = key.given() if key else {}
-        df = self._scan(path=self._series_path(given))
+        df = self._scan(self._series_path(given))
         return df.filter(_all(F.col(name) == value for name, value in given.items()))
 
     def _series_path(self, given: Mapping[str, str]) -> str:
@@ -319,12 +341,15 @@ class CandleStore:
         hidden = {*KEY, *self.layout.columns, INGEST, "_metadata"}
         return [*KEY, *[name for name in df.columns if name not in hidden]]
 
-    def _newest_dates(self, key: SeriesKey | None) -> DataFrame:
-        """Stored rows on the last date of their series.
+    @staticmethod
+    def _listed(series: DataFrame) -> list[Row]:
+        return series.select(*KEY).distinct().limit(MAX_LISTED + 1).collect()
+
+    def _newest_dates(self, df: DataFrame) -> DataFrame:
+        """The rows of ``df`` on the last date of their series.
 
         The last dates come from partition columns alone; only those dates are then read.
         """
-        df = self._scan_series(key)
         if not self.layout.columns:
             return df
         columns = df.columns
@@ -340,13 +365,14 @@ class CandleStore:
 
     def latest(self, key: SeriesKey | None = None) -> DataFrame:
         """The newest row of every matching series over its full history."""
-        df = self._newest_dates(key)
+        df = self._newest_dates(self._scan_series(key))
         rows = _with_ms(df, [*self._visible(df), INGEST])
         return top_row(rows, KEY, [TS, INGEST]).drop(INGEST)
 
-    def last_timestamps(self, key: SeriesKey | None = None) -> DataFrame:
-        """``latest_ts`` of every matching series."""
-        newest = self._newest_dates(key).groupBy(*KEY).agg(F.max(TS).alias("_last"))
+    def last_timestamps(self, series: DataFrame | None = None) -> DataFrame:
+        """``latest_ts`` of every stored series, or of those in ``series``."""
+        df = self._scan() if series is None else self._scan_listed(self._listed(series))
+        newest = self._newest_dates(df).groupBy(*KEY).agg(F.max(TS).alias("_last"))
         return newest.select(*KEY, timestamp_to_ms(F.col("_last")).alias("latest_ts"))
 
     # ----------------------------------------------------------------- catalog
@@ -390,9 +416,8 @@ class CandleStore:
     def drop_series(self, keys: DataFrame) -> int:
         """Delete the folders of the given series; series that are not stored are skipped."""
         wanted = keys.select(*[normalise(name, F.col(name)).alias(name) for name in KEY])
-        listed = wanted.distinct().limit(MAX_LISTED + 1).collect()
         folders = (
-            self._scan(_series_listed(listed))
+            self._scan_listed(self._listed(wanted))
             .select(*KEY, _directory(len(self.layout.columns)).alias("directory"))
             .distinct()
             .join(wanted, list(KEY), "left_semi")
@@ -405,17 +430,10 @@ class CandleStore:
 
     def _delete(self, directories: DataFrame) -> int:
         return sum(
-            delete_path(self.spark, row.directory) for row in directories.toLocalIterator()
+            delete_path(self.spark, row.directory, encoded=True) for row in directories.toLocalIterator()
         )
 
 
-def _series_listed(listed: Sequence[Row]) -> Column:
-    """Value lists per key column for a short list of series; no restriction for a long one."""
-    if len(listed) > MAX_LISTED:
-        return F.lit(True)
-    return _all(F.col(name).isin(sorted({row[name] for row in listed})) for name in KEY)
-
-
 def _all(terms: Iterable[Column]) -> Column:
     return functools.reduce(lambda a, b: a & b, terms, F.lit(True))
 
