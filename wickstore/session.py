@@ -89,6 +89,15 @@ def path_exists(spark: SparkSession, name: str) -> bool:
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
 
+def file_count(spark: SparkSession, name: str) -> int:
+    """Files below a small folder; 0 when it is not there."""
+    if not path_exists(spark, name):
+        return 0
+    path = hadoop_path(spark, name)
+    conf = spark._jsc.hadoopConfiguration()
+    return path.getFileSystem(conf).getContentSummary(path).getFileCount()
+
+
 @contextlib.contextmanager
 def session_setting(df: DataFrame, name: str, value: str) -> Iterator[None]:
     """Run the enclosed action with one setting changed in the session of ``df``."""

@@ -48,6 +48,7 @@ from wickstore.schema import (
 from wickstore.session import (
     cut_lineage,
     delete_path,
+    file_count,
     materialised,
     path_exists,
     session_setting,
@@ -76,6 +77,7 @@ class CandleStore:
         self.root = root.rstrip("/")
         self.layout = layout
         self.record = record_type(data_type)
+        self._known_fields: tuple[int, list[StructField]] = (0, self._base_fields())
 
     # ------------------------------------------------------------------ schema
 
@@ -91,19 +93,21 @@ class CandleStore:
         return [*fields, StructField(INGEST, LongType(), True)]
 
     def _stored_fields(self) -> list[StructField]:
-        """Data columns written so far, in the order they first appeared."""
-        try:
-            rows = self.spark.read.schema("value string").text(f"{self.root}/_schema").collect()
-        except AnalysisException as error:
-            if not _is_missing(error):
-                raise
-            rows = []
-        fields = {field.name: field for field in self._base_fields()}
-        versions = sorted((json.loads(row.value) for row in rows), key=lambda v: v["version"])
-        for version in versions:
-            for field in StructType.fromJson(version["schema"]).fields:
-                fields.setdefault(field.name, field)
-        return list(fields.values())
+        """Data columns written so far, in the order they first appeared.
+
+        The schema folder is read again only when files were added to it.
+        """
+        folder = f"{self.root}/_schema"
+        n_files = file_count(self.spark, folder)
+        if self._known_fields[0] != n_files:
+            rows = self.spark.read.schema("value string").text(folder).collect()
+            versions = sorted((json.loads(row.value) for row in rows), key=lambda v: v["version"])
+            fields = {field.name: field for field in self._base_fields()}
+            for version in versions:
+                for field in StructType.fromJson(version["schema"]).fields:
+                    fields.setdefault(field.name, field)
+            self._known_fields = (n_files, list(fields.values()))
+        return self._known_fields[1]
 
     def schema(self) -> StructType:
         dates = [DATE_FIELDS[name] for name in self.layout.columns]
@@ -251,8 +255,11 @@ class CandleStore:
         except AnalysisException as error:
             if not _is_missing(error):
                 raise
-        empty = F.struct(F.lit(None).cast("string").alias("file_path"))
-        return self.spark.createDataFrame([], schema).withColumn("_metadata", empty)
+        return self._no_rows(schema)
+
+    def _no_rows(self, schema: StructType) -> DataFrame:
+        file = F.struct(F.lit(None).cast("string").alias("file_path"))
+        return self.spark.createDataFrame([], schema).withColumn("_metadata", file)
 
     def _scan_listed(self, listed: Sequence[Row]) -> DataFrame:
         """Rows of a short list of series; of every series when the list is cut off.
@@ -262,12 +269,15 @@ class CandleStore:
         if len(listed) > MAX_LISTED:
             return self._scan()
         wanted = _all(F.col(name).isin(sorted({row[name] for row in listed})) for name in KEY)
-        paths = [self._series_path({name: row[name] for name in KEY}) for row in listed]
+        paths = {self._series_path({name: row[name] for name in KEY}) for row in listed}
         if len(paths) > MAX_FOLDERS:
             return self._scan().filter(wanted)
-        found = [path for path in dict.fromkeys(paths) if path_exists(self.spark, path)]
-        inner = [path for path in found if not any(path.startswith(f"{up}/") for up in found)]
-        return self._scan(*inner).filter(wanted if found else F.lit(False))
+        found = [path for path in sorted(paths) if path_exists(self.spark, path)]
+        if not found:
+            return self._no_rows(self.schema())
+        # A key that cannot be spelled as a folder stands for its parent, which may hold others.
+        outer = [path for path in found if not any(path.startswith(f"{up}/") for up in found)]
+        return self._scan(*outer).filter(wanted)
 
     def _scan_series(self, key: SeriesKey | None) -> DataFrame:
         given = key.given() if key else {}
