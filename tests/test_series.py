@@ -12,7 +12,6 @@ from wickstore import CandleStore, SeriesKey
 from wickstore.operators import gaps, paging, sync
 from wickstore.operators.paging import Paging
 from wickstore.schema import DAY_MS, HOUR_MS, KEY, TS
-from wickstore.sources.store import CandleStore as Store
 
 
 def test_paging_values():
@@ -225,4 +224,3 @@ def test_read_through(spark, tmp_path):
         paging=Paging(limit=3, offset=2),
     )
     assert stamps(got) == [DAY_1 + n * HOUR_MS for n in (12, 13, 14)]
-    assert isinstance(store, Store)
