@@ -8,9 +8,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
+from wickstore.plans.oracles import ORACLES
+from wickstore.plans.queries import QUERIES as CATALOG
 
-QUERIES = entry_points.queries()
-ORACLES = entry_points.oracle_sql()
+QUERIES = {name: query for name, query in entry_points.queries().items() if name in CATALOG}
 
 
 @pytest.fixture(scope="module")
