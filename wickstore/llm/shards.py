@@ -16,7 +16,7 @@ ROUNDS = 6
 #: Share by which a shard may be too full between rounds.
 SLACK = 0.05
 #: Largest unit that moves at once, as a share of a shard; larger groups are dealt into several units.
-UNIT = 0.2
+UNIT = 0.5
 #: Rows that are numbered in one task, about.
 NUMBERED = 20_000
 
