@@ -18,8 +18,10 @@ EDITS = 2
 #: Lines with fewer characters are left alone: within a few edits they are not the same line.
 LEAST_CHARS = 20
 BLANK = " \t\v\f\r"
-#: Letters whose counts keep distant lines apart before their texts are fetched; any eight will do.
-LETTERS = "ethnoari"
+#: Characters whose counts keep distant lines apart before their texts are fetched; any sixteen will do.
+LETTERS = "ethnoarisdlcu ,."
+#: Parts of a line that are compared in place before the edit distance is computed.
+PARTS = 8
 #: Lines that a document may have; a position is doc_id * LINES + line number.
 LINES = 1_000_000_000
 
@@ -54,23 +56,39 @@ def _key(length: Column, segment: int, parts: int, first: Column) -> Column:
 
 
 def _letters() -> Column:
-    """How often each of ``LETTERS`` stands in the line, eight bits each."""
+    """How often each of ``LETTERS`` stands in the line, modulo 16, four bits each."""
     counted = F.lit(0).cast("long")
     for n, letter in enumerate(LETTERS):
         count = F.octet_length("line") - F.octet_length(F.replace(F.col("line"), F.lit(letter)))
-        counted = counted.bitwiseOR(F.shiftleft(F.least(count, F.lit(255)).cast("long"), 8 * n))
+        counted = counted.bitwiseOR(F.shiftleft(count.cast("long").bitwiseAND(F.lit(15)), 4 * n))
     return counted
 
 
 def _apart(a: Column, b: Column) -> Column:
-    """Sum of the differences of two letter counts; an edit adds two at most."""
-    byte = lambda x, n: F.shiftrightunsigned(x, 8 * n).bitwiseAND(F.lit(255).cast("long"))
-    total = F.abs(byte(a, 0) - byte(b, 0))
-    for n in range(1, len(LETTERS)):
-        total = total + F.abs(byte(a, n) - byte(b, n))
+    """At most the sum of the differences of two letter counts; an edit adds two at most."""
+    total = F.lit(0).cast("long")
+    for n in range(len(LETTERS)):
+        nibble = lambda x: F.shiftrightunsigned(x, 4 * n).bitwiseAND(F.lit(15).cast("long"))  # noqa: B023, E731
+        gap = F.abs(nibble(a) - nibble(b))
+        total = total + F.least(gap, 16 - gap)
     return total
 
 
+def _parts_alike(a: Column, b: Column, edits: int) -> Column:
+    """Whether all but ``edits`` of the parts of ``a`` stand in ``b``, at most ``edits`` characters away.
+
+    An edit spoils one part and moves the rest by one, so lines within ``edits`` edits always pass.
+    """
+    size = F.floor(F.char_length(a) / PARTS).cast("int")
+    alike = F.lit(0)
+    for part in range(PARTS):
+        piece = F.substring(a, size * part + 1, size)
+        first = F.greatest(size * part + 1 - edits, F.lit(1))
+        around = F.substring(b, first, size * part + 1 + edits + size - first)
+        alike = alike + F.contains(around, piece).cast("int")
+    return alike >= PARTS - edits
+
+
 def _indexed(lines: DataFrame, edits: int) -> DataFrame:
     length = F.col("chars")
     keys = [_key(length, s, edits + 1, _start(length, s, edits + 1)) for s in range(edits + 1)]
@@ -180,9 +198,11 @@ def linked_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     y = texts.select(F.col("id").alias("b"), F.col("line").alias("y"), F.col("position").alias("q"))
     both = pairs.join(x, "a").join(y, "b")
     shorter = F.char_length("x") <= F.char_length("y")
-    verified = within_edits(
-        F.when(shorter, F.col("x")).otherwise(F.col("y")), F.when(shorter, F.col("y")).otherwise(F.col("x")), edits
-    )
+    both = both.select(
+        "p", "q", F.when(shorter, F.col("x")).otherwise(F.col("y")).alias("x"),
+        F.when(shorter, F.col("y")).otherwise(F.col("x")).alias("y"),
+    ).filter(_parts_alike(F.col("x"), F.col("y"), edits))
+    verified = within_edits(F.col("x"), F.col("y"), edits)
     links, _ = kept_copy(both.filter(verified).select(F.col("p").alias("a"), F.col("q").alias("b")), "links")
     for used in (path, ids_path, texts_path):
         drop_copy(lines.sparkSession, used)
