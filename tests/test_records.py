@@ -75,10 +75,11 @@ def test_page_plan_covers_the_range_once(spark):
         [
             ("ohlcv", "b", "A", "1m", 0, 150_000_000),
             ("ohlcv", "b", "B", "1m", 5, 5),
-            ("ohlcv", "b", "C", "x", 0, 10),
         ],
         "data_type string, exchange string, coin string, interval string, start long, end long",
     )
+    with pytest.raises(Exception, match="unknown interval: x"):
+        pages.page_plan(requests.withColumn("interval", F.lit("x"))).collect()
     plan = pages.page_plan(requests).orderBy("page").collect()
     assert {row.coin for row in plan} == {"A"}
     assert [(row.page, row.page_start, row.page_end) for row in plan] == [
@@ -102,7 +103,7 @@ def test_candles_from_ticks_break_ties_by_id(spark):
         "data_type string, exchange string, coin string, micros long, tick_id long,"
         " price double, size double",
     )
-    got = ticks.candles_from_ticks(frame_, "1m", scale=3).orderBy(TS).collect()
+    got = ticks.candles_from_ticks(frame_, "1m").orderBy(TS).collect()
     assert [tuple(row)[4:] for row in got] == [
         (-60_000, 6.0, 6.0, 6.0, 6.0, 1.0),
         (0, 10.0, 20.0, 7.0, 8.0, 3.125),
@@ -265,3 +266,30 @@ def test_order_covers_every_long(spark, low, high):
         rows.withColumns({"open": F.lit(2.0), "ingest_id": F.lit(high)})
     )
     assert latest.latest_wins(both, "ingest_id").first().open == 2.0
+
+
+def test_no_page_is_lost(spark, tmp_path):
+    good = '{"data_type":"ohlcv","exchange":"Binance","coin":"btc/usd","interval":"1H","candles":[[1704067200000,1,2,0.5,1.5,3]]}'
+    seven = good.replace("1.5,3]", "1.5,3,4]")
+    word = good.replace("0.5", '"1d"')
+    lines = [good, "not json", good.replace("[[1704067200000,1,2,0.5,1.5,3]]", "null"), seven, word]
+    (tmp_path / "pages.json").write_text("\n".join(lines))
+    valid, rejected = pages.candles_from_pages(pages.read_pages(spark, str(tmp_path)))
+    assert [(r.exchange, r.coin, r.interval) for r in valid.collect()] == [("binance", "BTC_USD", "1h")]
+    assert rejected.count() == 4
+
+
+def test_small_sizes_add_up(spark):
+    rows = [("ohlcv", "x", "A", n, n, 1.0, 0.004) for n in range(100)]
+    frame_ = spark.createDataFrame(
+        rows, "data_type string, exchange string, coin string, micros long, tick_id long, price double, size double"
+    )
+    assert ticks.candles_from_ticks(frame_, "1m").first()["volume"] == 0.4
+
+
+def test_union_keeps_times_and_decimals(spark):
+    a = spark.sql("SELECT timestamp'2024-01-01 00:00:00' AS timestamp, CAST(1.25 AS DECIMAL(10, 2)) AS v")
+    b = spark.sql("SELECT CAST(5 AS BIGINT) AS timestamp, CAST(7 AS BIGINT) AS v")
+    both = sets.union_batches(a, b)
+    assert sorted(row["timestamp"] for row in both.collect()) == [5, 1704067200000]
+    assert dict(both.dtypes)["v"] == "decimal(21,2)"

@@ -69,7 +69,7 @@ def test_page_of_one_series(spark):
     rows = frame(spark, hours(DAY_1, 60))
     shallow = [row[TS] for row in paging.page_of_one(rows, Paging(10, 5)).collect()]
     assert shallow == [DAY_1 + n * HOUR_MS for n in range(5, 15)]
-    deep = paging.page_of_one(rows, Paging(paging.SHALLOW, 55))
+    deep = paging.page_of_one(rows, Paging(20_000, 55))
     assert [row[TS] for row in deep.collect()] == [DAY_1 + n * HOUR_MS for n in range(55, 60)]
     assert paging.page_of_one(rows) is rows
 
@@ -176,11 +176,9 @@ def test_staleness_and_windows(spark):
     ]
 
 
-@pytest.mark.parametrize("broadcast_up_to", [50_000, 0])
-def test_increment_with_and_without_broadcast(spark, monkeypatch, broadcast_up_to):
-    monkeypatch.setattr(sync, "MAX_BROADCAST_ROWS", broadcast_up_to)
+def test_increment_takes_the_windows_of_each_series(spark):
     source = frame(spark, hours(DAY_1, 48) + hours(DAY_1, 48, "ETH_USD"))
-    windows = frame(spark, [candle(0)]).select(
+    windows = frame(spark, [candle(0, "btc/usd")]).select(
         *KEY, F.lit(DAY_1 + HOUR_MS).alias("sync_start"), F.lit(DAY_1 + 4 * HOUR_MS).alias("sync_end")
     )
     got = sync.increment(source, windows)
@@ -224,3 +222,15 @@ def test_read_through(spark, tmp_path):
         paging=Paging(limit=3, offset=2),
     )
     assert stamps(got) == [DAY_1 + n * HOUR_MS for n in (12, 13, 14)]
+
+
+def test_pages_of_one_timestamp_cover_every_row_once(spark):
+    """More rows of one instant than any sort on the driver would hold."""
+    rows = frame(spark, [])
+    many = spark.range(12_000).select(
+        *[F.lit(cell).alias(name) for name, cell in zip(rows.columns[:5], candle(DAY_1)[:5])],
+        *[F.col("id").cast("double").alias(name) for name in rows.columns[5:]],
+    )
+    for pager in (paging.page, paging.page_of_one):
+        seen = [row.open for n in range(2) for row in pager(many, Paging(6_000, 6_000 * n)).collect()]
+        assert sorted(seen) == [float(n) for n in range(12_000)]

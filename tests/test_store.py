@@ -273,3 +273,36 @@ def test_many_series_use_the_wider_scan(spark, store, monkeypatch):
         assert fresh.last_timestamps(rows.select(*KEY)).count() == 6
         assert fresh.drop_series(rows.select(*KEY).filter("coin <> 'C0'").distinct()) == 5
         assert [row.coin for row in fresh.series().collect()] == ["C0"]
+
+
+def test_overwrite_keeps_every_row_of_an_input_that_changes(spark, store):
+    rows = frame(spark, hours(DAY_1, 60)).withColumn(
+        TS, F.col(TS) + (F.rand() * 20).cast("int") * DAY_MS
+    )
+    store.write(rows, mode="overwrite")
+    assert store.read_range().count() == 60
+
+
+def test_append_new_takes_corrections_once(spark, store):
+    rows = frame(spark, hours(DAY_1, 5))
+    store.append_new(rows)
+    changed = rows.withColumn("close", F.when(F.col(TS) == DAY_1, 5.0).otherwise(F.col("close")))
+    for _ in range(2):
+        store.append_new(changed)
+    assert store.read_range().count() == 6
+    assert store.read_latest_wins().filter(F.col(TS) == DAY_1).first()["close"] == 5.0
+
+
+def test_write_needs_the_whole_record(spark, store):
+    with pytest.raises(ValueError, match="close"):
+        store.write(frame(spark, hours(DAY_1, 5)).drop("close"))
+
+
+def test_time_conditions_skip_files(spark, store):
+    store.write(frame(spark, hours(DAY_1, 240)))
+    cut = DAY_1 + 9 * DAY_MS
+    some = store.read_range(where=[(TS, ">", cut), (TS, "<=", cut + 2 * HOUR_MS), ("close", "!=", -1.0)])
+    assert stamps(some) == [cut + HOUR_MS, cut + 2 * HOUR_MS]
+    assert len(some.inputFiles()) >= 1
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull" in plan or "make_date" in plan

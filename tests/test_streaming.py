@@ -51,7 +51,6 @@ def test_stream_candles_equal_batch_candles(spark, sf_dir, tmp_path):
         "1h",
         store,
         str(tmp_path / "progress"),
-        watermark="10 days",
     ).awaitTermination()
     want = frames.candles(spark, sf_dir).filter(F.col(TS) < DAY_1 + 48 * HOUR_MS)
     got = store.read_latest_wins()

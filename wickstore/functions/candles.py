@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from wickstore.schema import TS, VALUES
 
 
+_DECIMAL = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
+
+
 def unpack(candle: Column) -> list[Column]:
     """``[timestamp, open, high, low, close, volume]`` as raw named columns."""
     return [F.get(candle, i).alias(name) for i, name in enumerate((TS, *VALUES))]
@@ -19,8 +22,14 @@ def to_epoch(raw: Column) -> Column:
 
 
 def to_number(raw: Column) -> Column:
-    """A double, or null when the value is not a number."""
-    return raw.try_cast("double")
+    """A double, or null when the value is not a number.
+
+    Text must be a plain decimal number; type suffixes such as ``1d``, the words for infinity and
+    numbers beyond the range of a double are not. A NaN that came as a double stays one.
+    """
+    number = raw.try_cast("double")
+    plain = raw.cast("string").rlike(_DECIMAL) | F.isnan(number)
+    return F.when(plain & (F.abs(number) != float("inf")), number)
 
 
 def _number(name: str) -> Column:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wickstore.schema import KEY
+
 # The characters stripped from both ends of a key part (Unicode white space).
 WHITE_SPACE = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
@@ -42,6 +46,17 @@ def normalise(name: str, col: Column) -> Column:
     return _NORMALISERS[name](col)
 
 
+def normalised(df: DataFrame, names: Sequence[str] = KEY) -> DataFrame:
+    """``df`` with its key columns as they are stored, so that ``BTC/USD`` meets ``BTC_USD``."""
+    present = [name for name in names if name in df.columns and name in _NORMALISERS]
+    return df.withColumns({name: normalise(name, F.col(name)) for name in present})
+
+
+def comparable(name: str, col: Column) -> Column:
+    """A key part as it is stored; any other column as it is."""
+    return normalise(name, col) if name in _NORMALISERS else col
+
+
 def normalise_part(name: str, value: str) -> str:
     """The same rules for one value on the driver, for lookups."""
     if name == "exchange":

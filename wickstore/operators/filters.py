@@ -21,6 +21,7 @@ from pyspark.sql.types import (
 
 from wickstore.functions.candles import to_epoch, to_number
 from wickstore.functions.epoch import floor_div, to_ms
+from wickstore.functions.keys import comparable
 from wickstore.schema import DAY_MS, TS, RecordType
 
 logger = logging.getLogger(__name__)
@@ -118,10 +119,11 @@ def with_availability(
     df: DataFrame, markets: DataFrame, keys: Sequence[str] = ("exchange", "coin")
 ) -> DataFrame:
     """Adds ``is_available``: whether the symbol is in the exchange's market list."""
-    listed = markets.select(*keys).distinct().withColumn("is_available", F.lit(True))
-    return df.join(listed, list(keys), "left").withColumn(
-        "is_available", F.coalesce("is_available", F.lit(False))
-    )
+    listed = markets.select(*[comparable(k, F.col(k)).alias(f"_m_{k}") for k in keys]).distinct()
+    listed = listed.withColumn("_listed", F.lit(True))
+    same = [comparable(k, F.col(k)) == F.col(f"_m_{k}") for k in keys]
+    joined = df.join(listed, functools.reduce(lambda a, b: a & b, same), "left")
+    return joined.select(*df.columns, F.coalesce("_listed", F.lit(False)).alias("is_available"))
 
 
 def split_by_membership(
@@ -149,10 +151,13 @@ def remove_windows(
     cut = (
         windows.filter(F.col("start") < F.col("end"))
         .select(*keys, "start", "end", F.explode(F.sequence(first, last)).alias("_bucket"))
-        .select(*[F.col(name).alias(f"_w_{name}") for name in (*keys, "start", "end", "_bucket")])
+        .select(
+            *[comparable(name, F.col(name)).alias(f"_w_{name}") for name in keys],
+            *[F.col(name).alias(f"_w_{name}") for name in ("start", "end", "_bucket")],
+        )
     )
     rows = df.withColumn("_bucket", floor_div(F.col(ts), bucket_ms))
-    match = [F.col(name) == F.col(f"_w_{name}") for name in (*keys, "_bucket")]
+    match = [comparable(name, F.col(name)) == F.col(f"_w_{name}") for name in (*keys, "_bucket")]
     inside = (F.col(ts) >= F.col("_w_start")) & (F.col(ts) < F.col("_w_end"))
     on = functools.reduce(lambda a, b: a & b, [*match, inside])
     return rows.join(cut, on, "left_anti").drop("_bucket")

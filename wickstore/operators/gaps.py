@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wickstore.functions.keys import normalised
 from wickstore.functions.epoch import floor_div
 from wickstore.schema import KEY, TS
 
@@ -174,20 +175,26 @@ def gap_ranges(df: DataFrame, step: int, keys: Sequence[str] = KEY, ts: str = TS
 def gap_fill(
     df: DataFrame, source: DataFrame, step: int, keys: Sequence[str] = KEY, ts: str = TS
 ) -> DataFrame:
-    """Rows of ``source`` at timestamps ``df`` is missing, ready to be appended."""
-    return source.join(missing_timestamps(df, step, keys, ts), [*keys, ts], "left_semi")
+    """Rows of ``source`` at timestamps ``df`` is missing, with normalised keys, ready to be appended."""
+    missing = missing_timestamps(normalised(df, keys), step, keys, ts)
+    return normalised(source, keys).join(missing, [*keys, ts], "left_semi")
 
 
 def completeness(
     df: DataFrame, bounds: DataFrame, step: int, keys: Sequence[str] = KEY, ts: str = TS
 ) -> DataFrame:
-    """Expected, present and missing grid points per series within closed ``bounds``."""
+    """Expected, present and missing grid points per series within closed ``bounds``.
+
+    A series whose bounds hold no grid point expects none and is complete.
+    """
     missing = _missing_slots(df, bounds, step, keys, ts)
     expected = F.col("last_slot") - F.col("first_slot") + 1
     counts = missing.groupBy(*keys).agg(
         F.sum(expected).cast("bigint").alias("n_expected"),
         F.sum(F.size("missing")).cast("bigint").alias("n_missing"),
     )
+    counts = bounds.select(*keys).distinct().join(counts, list(keys), "left")
+    counts = counts.fillna(0, ["n_expected", "n_missing"])
     return counts.select(
         *keys,
         "n_expected",

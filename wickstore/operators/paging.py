@@ -16,8 +16,6 @@ from wickstore.functions.epoch import floor_div
 from wickstore.operators.reduce import row_hash
 from wickstore.schema import DAY_MS, KEY, TS
 
-# Below this many rows a page of one series is a plain top-k.
-SHALLOW = 10_000
 _COPIES_PER_STEP = 10_000
 
 
@@ -61,13 +59,13 @@ def with_position(
     paging: Paging | None = None,
     keys: Sequence[str] = KEY,
     ts: str = TS,
-    unique: bool = True,
+    unique: bool = False,
     bucket_ms: int = DAY_MS,
 ) -> DataFrame:
     """Adds ``position``, the zero-based place of a row in its series by time.
 
     With ``paging`` only the rows of that page come back. ``unique`` promises one row per series
-    and timestamp; otherwise rows of one timestamp are ordered by a digest of the row, and copies
+    and timestamp, which saves work; otherwise rows of one timestamp are ordered by a digest of the row, and copies
     of a row are counted before they are shuffled.
     """
     paging = paging or Paging.all_records()
@@ -149,7 +147,7 @@ def page(
     paging: Paging | None = None,
     keys: Sequence[str] = KEY,
     ts: str = TS,
-    unique: bool = True,
+    unique: bool = False,
 ) -> DataFrame:
     """The page of every series; an offset past the end gives no rows for that series."""
     if paging is None or not paging.has_pagination():
@@ -162,19 +160,12 @@ def page_of_one(
     paging: Paging | None = None,
     keys: Sequence[str] = KEY,
     ts: str = TS,
-    unique: bool = True,
+    unique: bool = False,
 ) -> DataFrame:
-    """The page of a frame that holds a single series, in time order.
-
-    A shallow page is a top-k; a deep one is numbered by bucket, since a top-k would hold
-    ``offset + limit`` rows on the driver.
-    """
+    """The page of a frame that holds a single series, in the order of its positions."""
     if paging is None or not paging.has_pagination():
         return df
-    if paging.limit is not None and paging.offset + paging.limit <= SHALLOW:
-        order = [ts] if unique else [F.col(ts), row_hash(df.columns)]
-        return df.orderBy(*order).offset(paging.offset).limit(paging.limit)
-    return with_position(df, paging, keys, ts, unique).drop("position").orderBy(ts)
+    return with_position(df, paging, keys, ts, unique).orderBy("position").drop("position")
 
 
 def chunks(
@@ -182,7 +173,7 @@ def chunks(
     size: int,
     keys: Sequence[str] = KEY,
     ts: str = TS,
-    unique: bool = True,
+    unique: bool = False,
 ) -> DataFrame:
     """Adds ``chunk_id``: consecutive groups of ``size`` rows per series, for chunked delivery."""
     placed = with_position(df, None, keys, ts, unique)

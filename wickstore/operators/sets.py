@@ -3,25 +3,66 @@
 from __future__ import annotations
 
 import functools
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql.types import DoubleType, FractionalType, IntegralType, NullType, StringType
+from pyspark.sql import functions as F
+from pyspark.sql.types import (
+    DecimalType,
+    DoubleType,
+    FractionalType,
+    IntegralType,
+    LongType,
+    NullType,
+    StringType,
+    TimestampNTZType,
+    TimestampType,
+)
+
+from wickstore.functions.epoch import timestamp_to_ms
+from wickstore.schema import TS
 
 
 def _widest(types: list):
-    """Null gives way to anything, whole numbers to fractions, and any other mix is text."""
+    """Null gives way to anything, whole numbers to fractions, and any other mix is text.
+
+    Decimals among whole numbers and decimals stay decimals, as wide as all of them need.
+    """
     kinds = [kind for kind in types if not isinstance(kind, NullType)]
     if not kinds:
         return StringType()
     if all(kind == kinds[0] for kind in kinds):
         return kinds[0]
+    if all(isinstance(kind, (DecimalType, IntegralType)) for kind in kinds):
+        if all(isinstance(kind, IntegralType) for kind in kinds):
+            return LongType()
+        scale = max(kind.scale for kind in kinds if isinstance(kind, DecimalType))
+        whole = max(kind.precision - kind.scale if isinstance(kind, DecimalType) else 19 for kind in kinds)
+        return DecimalType(min(38, whole + scale), min(scale, 38 - min(whole, 38)))
     if all(isinstance(kind, (FractionalType, IntegralType)) for kind in kinds):
         return DoubleType()
     return StringType()
 
 
+def _one_time_unit(batches: Sequence[DataFrame]) -> list[DataFrame]:
+    kinds = [batch.schema[TS].dataType for batch in batches if TS in batch.columns]
+    if not any(isinstance(kind, IntegralType) for kind in kinds):
+        return list(batches)
+    return [
+        batch.withColumn(TS, timestamp_to_ms(F.col(TS)))
+        if TS in batch.columns and isinstance(batch.schema[TS].dataType, (TimestampType, TimestampNTZType))
+        else batch
+        for batch in batches
+    ]
+
+
 def union_batches(*batches: DataFrame) -> DataFrame:
-    """All rows of all batches; a column missing from a batch is null in its rows."""
+    """All rows of all batches; a column missing from a batch is null in its rows.
+
+    A ``timestamp`` that is an instant in some batches and whole milliseconds in others becomes
+    milliseconds in all.
+    """
+    batches = _one_time_unit(batches)
     seen: dict[str, list] = {}
     for batch in batches:
         for field in batch.schema.fields:

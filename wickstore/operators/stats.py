@@ -31,9 +31,16 @@ def count_tolerance(
     step: int,
     tolerance: float = 0.1,
     keys: Sequence[str] = KEY,
+    series: DataFrame | None = None,
 ) -> DataFrame:
-    """Rows per series against ``span / step``, flagged when off by more than ``tolerance``."""
+    """Rows per series against ``span / step``, flagged when off by more than ``tolerance``.
+
+    Series of ``series`` that have no rows are reported with none.
+    """
     expected = (F.lit(span_ms) if isinstance(span_ms, int) else span_ms) / F.lit(step)
-    counted = row_counts(df, keys).withColumn("n_expected", expected.cast("double"))
+    counts = row_counts(df, keys)
+    if series is not None:
+        counts = counts.join(series.select(*keys).distinct(), list(keys), "full").fillna(0, ["n_rows"])
+    counted = counts.withColumn("n_expected", expected.cast("double"))
     off = F.abs(F.col("n_rows") - F.col("n_expected"))
     return counted.withColumn("within", off <= F.col("n_expected") * tolerance)

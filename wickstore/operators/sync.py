@@ -8,26 +8,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wickstore.functions.epoch import interval_ms, to_ms
-from wickstore.functions.keys import normalise
+from wickstore.functions.keys import normalised
 from wickstore.operators.paging import Paging, page
 from wickstore.schema import DAY_MS, KEY, TS, SeriesKey
 from wickstore.session import cut_lineage
 from wickstore.sources.store import CandleStore
 
-# A list of windows this short is copied to every task; a longer one is joined by shuffle.
-MAX_BROADCAST_ROWS = 50_000
-
 
 def staleness(requested: DataFrame, latest: DataFrame, as_of: int | dt.datetime) -> DataFrame:
     """``requested`` series with ``latest_ts`` and ``needs_sync``.
 
     A series needs a sync when it has no data or its newest row is more than one interval old.
-    ``latest`` has the key and ``latest_ts``.
+    ``latest`` has the key and ``latest_ts``. Keys of both sides are normalised; an interval that
+    has no length is an error.
     """
     now = to_ms(as_of)
-    step = interval_ms(F.col("interval"))
+    unknown = F.concat(F.lit("unknown interval: "), F.coalesce("interval", F.lit("null")))
+    step = F.coalesce(interval_ms(F.col("interval")), F.raise_error(unknown).cast("bigint"))
     behind = F.col("latest_ts").isNull() | (F.lit(now) - F.col("latest_ts") > step)
-    return requested.join(latest, list(KEY), "left").withColumn("needs_sync", behind)
+    joined = normalised(requested).join(normalised(latest), list(KEY), "left")
+    return joined.withColumn("needs_sync", behind)
 
 
 def sync_windows(
@@ -47,21 +47,21 @@ def sync_windows(
 
 
 def increment(source: DataFrame, windows: DataFrame) -> DataFrame:
-    """Source rows inside the sync window of their series.
+    """Source rows inside the sync window of their series, with normalised keys.
 
-    The windows are computed once; their outer bounds go to the source scan as constants, and
-    they are broadcast only when counted to be few.
+    The windows are computed once; their outer bounds go to the source scan as constants. Spark
+    broadcasts them if they are small and splits hot series if they are not.
     """
-    windows = cut_lineage(windows)
+    source = normalised(source)
+    windows = cut_lineage(normalised(windows))
     found = windows.agg(
         F.count(F.lit(1)).alias("n"), F.min("sync_start").alias("lo"), F.max("sync_end").alias("hi")
     ).first()
     if not found.n:
         return source.limit(0)
-    few = found.n <= MAX_BROADCAST_ROWS
     rows = source.filter((F.col(TS) >= found.lo) & (F.col(TS) < found.hi))
     inside = (F.col(TS) >= F.col("sync_start")) & (F.col(TS) < F.col("sync_end"))
-    joined = rows.join(F.broadcast(windows) if few else windows, list(KEY)).filter(inside)
+    joined = rows.join(windows, list(KEY)).filter(inside)
     return joined.select(*source.columns)
 
 
@@ -77,8 +77,7 @@ def plan_sync(
     ``lookback_ms`` limits how far back a newest row is looked for; a series without one in that
     span counts as empty.
     """
-    wanted = requested.select(*[normalise(name, F.col(name)).alias(name) for name in KEY])
-    wanted = wanted.distinct()
+    wanted = normalised(requested).select(*KEY).distinct()
     if lookback_ms is None:
         newest = store.last_timestamps(wanted)
     else:

@@ -127,6 +127,12 @@ ORACLES: dict[str, str] = {
     "candles_1m": f"{M} SELECT * FROM m",
     "candles_1d": f"WITH d AS ({_DAILY}) SELECT * FROM d",
     "raw_pages_to_candles": f"{H} SELECT * FROM h",
+    "candles_small_sizes": f"""{H},
+v AS (SELECT upper(event_type) AS coin, (epoch_us(ts) // 1000) // {HOUR} * {HOUR} AS "timestamp",
+             CAST(sum(CAST(round(value * 100) AS BIGINT)) AS DOUBLE) / 100000000 AS volume
+      FROM events GROUP BY ALL)
+SELECT h.* REPLACE (v.volume AS volume) FROM h JOIN v USING (coin, "timestamp")""",
+    "pages_landed": f"{H} SELECT * FROM h UNION ALL SELECT * FROM h",
     "fetch_clip": (
         f'{M} SELECT * FROM m WHERE "timestamp" >= {JAN_10} AND "timestamp" < {JAN_20}'
     ),
@@ -347,6 +353,11 @@ SELECT h.* FROM h JOIN windows w ON h.data_type = w.data_type AND h.exchange = w
   AND h.coin = w.coin AND h."interval" = w."interval"
 WHERE h."timestamp" >= sync_start AND h."timestamp" < sync_end""",
     "idempotent_append": f"{H} SELECT * FROM h",
+    "sync_raw_symbols": f"{H} SELECT * FROM h",
+    "sync_revised": f"""{H},
+l AS (SELECT coin, max("timestamp") AS last FROM h WHERE coin <> 'VIEW' AND "timestamp" < {JAN_20} GROUP BY coin)
+SELECT h.*, CAST(CASE WHEN "timestamp" = last THEN 2 ELSE 1 END AS BIGINT) AS n_versions FROM h JOIN l USING (coin)""",
+    "page_walk": f"""{M} SELECT * REPLACE ("timestamp" // {HOUR} * {HOUR} AS "timestamp") FROM m""",
     "read_through": f"""{H}, late AS (SELECT * FROM h WHERE "timestamp" >= {JAN_15}),
 {_place('late')}
 SELECT * EXCLUDE (pos) FROM placed WHERE pos >= 100 AND pos < 300""",

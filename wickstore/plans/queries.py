@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from wickstore.functions import candles as candle_functions
 from wickstore.functions import epoch, keys
+from wickstore.functions.epoch import floor_ms
 from wickstore.operators import filters, gaps, latest, paging, sets, stats, sync
 from wickstore.operators.paging import Paging
 from wickstore.plans import frames
@@ -30,6 +31,7 @@ from wickstore.schema import (
 from wickstore.session import scratch_path
 from wickstore.sources import infer, pages
 from wickstore.sources.store import CandleStore
+from wickstore.sources.ticks import candles_from_ticks
 from wickstore.streaming.ingest import ingest_candles, stream_candles
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,6 +82,33 @@ def candles_1d(spark, sf_dir):
     return frames.order_candles(spark, sf_dir)
 
 
+@query
+def candles_small_sizes(spark, sf_dir):
+    """Sizes with eight decimals are added exactly."""
+    ticks = frames.event_ticks(frames.table(spark, sf_dir, "events"))
+    return candles_from_ticks(ticks.withColumn("size", F.col("size") / 1_000_000), "1h")
+
+
+@query
+def pages_landed(spark, sf_dir):
+    """Pages written as JSON (whole milliseconds) and as Parquet (doubles) and read again."""
+    doubles = frames.raw_pages(_hourly(spark, sf_dir))
+    text = F.transform(
+        "candles",
+        lambda candle: F.transform(
+            candle,
+            lambda value, n: F.when(n == 0, value.cast("bigint").cast("string")).otherwise(value.cast("string")),
+        ),
+    )
+    found = []
+    for fmt, landed in (("json", doubles.withColumn("candles", text)), ("parquet", doubles)):
+        path = scratch_path(spark, "pages")
+        landed.write.format(fmt).save(path)
+        valid, _ = pages.candles_from_pages(pages.read_pages(spark, path, fmt))
+        found.append(valid)
+    return sets.union_batches(*found)
+
+
 @query
 def raw_pages_to_candles(spark, sf_dir):
     valid, _ = pages.candles_from_pages(frames.raw_pages(_hourly(spark, sf_dir)))
@@ -541,6 +570,16 @@ def chunks(spark, sf_dir):
 # -------------------------------------------------------------- markets, membership, sets
 
 
+@query
+def page_walk(spark, sf_dir):
+    """Consecutive pages of rows that share timestamps give every row once."""
+    rows = _minutely(spark, sf_dir).withColumn(TS, floor_ms(F.col(TS), HOUR_MS))
+    most = rows.groupBy(*KEY).count().agg(F.max("count")).first()[0]
+    size = -(-most // 4)
+    walked = [paging.page(rows, Paging(limit=size, offset=size * n)) for n in range(4)]
+    return sets.union_batches(*walked)
+
+
 @query
 def market_available(spark, sf_dir):
     rows = _hourly(spark, sf_dir)
@@ -681,6 +720,35 @@ def read_through(spark, sf_dir):
     )
 
 
+@query
+def sync_raw_symbols(spark, sf_dir):
+    """A source that spells its keys as exchanges do is loaded, once."""
+    rows = _hourly(spark, sf_dir)
+    store = _store_of(spark, _partly_stored(rows))
+    spelled = rows.withColumns(
+        {"exchange": F.lit("Synthetic"), "coin": F.lower("coin"), "interval": F.upper("interval")}
+    )
+    for _ in range(2):
+        sync.sync(store, spelled, frames.requested(rows), _last(rows) + 1000)
+    return store.read_range()
+
+
+@query
+def sync_revised(spark, sf_dir):
+    """The last stored candle of each series is corrected by the next sync; a repeat adds nothing."""
+    rows = _hourly(spark, sf_dir)
+    old = _partly_stored(rows).filter(F.col("coin") != "VIEW")
+    last = _latest_of(old).withColumnRenamed("latest_ts", "_last")
+    wrong = old.join(last, list(KEY)).withColumn(
+        "close", F.when(F.col(TS) == F.col("_last"), F.col("close") + 1).otherwise(F.col("close"))
+    )
+    store = _store_of(spark, wrong.select(*rows.columns))
+    for _ in range(2):
+        sync.sync(store, rows.filter("coin != 'VIEW'"), last.select(*KEY), _last(rows) + 1000)
+    stored = store.read_range().groupBy(*KEY, TS).count().withColumnRenamed("count", "n_versions")
+    return store.read_latest_wins().join(stored, [*KEY, TS])
+
+
 # ---------------------------------------------------------------------- streaming
 
 
@@ -705,6 +773,6 @@ def stream_candles_1h(spark, sf_dir):
     ticks = frames.event_ticks(frames.table(spark, sf_dir, "events"))
     store = _new_store(spark)
     stream_candles(
-        _landed(spark, ticks), "1h", store, scratch_path(spark, "progress"), watermark="60 days"
+        _landed(spark, ticks), "1h", store, scratch_path(spark, "progress")
     ).awaitTermination()
     return store.read_latest_wins()

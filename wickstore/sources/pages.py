@@ -17,6 +17,7 @@ from pyspark.sql.types import (
 
 from wickstore.functions.candles import unpack
 from wickstore.functions.epoch import interval_ms
+from wickstore.functions.keys import normalised
 from wickstore.operators.filters import clip, split_valid, validate
 from wickstore.schema import CANDLE_RECORD, KEY, KEY_FIELDS, TS, VALUES
 
@@ -28,13 +29,27 @@ PAGE_SCHEMA = StructType([*KEY_FIELDS, StructField("candles", ArrayType(ArrayTyp
 
 
 def read_pages(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
-    """Pages as they landed: a series key and an array of positional candles."""
-    return spark.read.schema(PAGE_SCHEMA).format(fmt).load(path)
+    """Pages as they landed: a series key and an array of positional candles.
+
+    A line of JSON that cannot be read becomes a page of nulls, which is rejected later instead of
+    lost. Other formats keep the array type of their files.
+    """
+    if fmt == "json":
+        return spark.read.schema(PAGE_SCHEMA).option("mode", "PERMISSIVE").json(path)
+    return spark.read.format(fmt).load(path)
 
 
 def raw_candles(pages: DataFrame) -> DataFrame:
-    """One row per candle, values as they came."""
-    exploded = pages.select(*KEY, F.explode("candles").alias("candle"))
+    """One row per candle, values as they came, keys normalised.
+
+    A page without an array and a candle of more than six values give a row without values, which
+    validation rejects; a shorter candle lacks its last values. An empty page has no candles and gives no row.
+    """
+    exploded = normalised(pages.filter("candles is null or size(candles) > 0")).select(
+        *KEY, F.explode_outer("candles").alias("candle")
+    )
+    whole = F.size("candle") <= len(VALUES) + 1
+    exploded = exploded.withColumn("candle", F.when(whole, F.col("candle")))
     rows = exploded.select(*KEY, *unpack(F.col("candle")))
     if isinstance(rows.schema[TS].dataType, FractionalType):
         # A page of doubles carries whole milliseconds as doubles.
@@ -63,13 +78,15 @@ def checked_candles(pages: DataFrame) -> DataFrame:
 def page_plan(requests: DataFrame, limit: int = PAGE_LIMIT) -> DataFrame:
     """The pages that cover ``start <= timestamp < end`` of each request.
 
-    ``requests`` holds the series key, ``start`` and ``end`` in milliseconds. Unknown intervals
-    and empty ranges plan no page.
+    ``requests`` holds the series key, ``start`` and ``end`` in milliseconds. Empty ranges plan no
+    page; an interval that has no length is an error.
     """
-    span = interval_ms(F.col("interval")) * F.lit(limit).cast(LongType())
+    unknown = F.concat(F.lit("unknown interval: "), F.coalesce("interval", F.lit("null")))
+    step = F.coalesce(interval_ms(F.col("interval")), F.raise_error(unknown).cast("bigint"))
+    span = step * F.lit(limit).cast(LongType())
     planned = (
         requests.withColumn("_span", span)
-        .filter(F.col("_span").isNotNull() & (F.col("start") < F.col("end")))
+        .filter((F.col("_span") > 0) & (F.col("start") < F.col("end")))
         .select(
             "*",
             F.posexplode(F.sequence(F.col("start"), F.col("end") - 1, F.col("_span"))).alias(

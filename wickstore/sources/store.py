@@ -140,7 +140,7 @@ class CandleStore:
     def _prepare(self, df: DataFrame, ingest_id: int) -> DataFrame:
         """Normalise the key, turn milliseconds into timestamps and derive the date columns."""
         fields = {field.name: field.dataType for field in df.schema.fields}
-        absent = [name for name in (*KEY, TS) if name not in fields]
+        absent = [name for name in (*KEY, *self.record.required) if name not in fields]
         if absent:
             raise ValueError(f"missing columns: {absent}")
         millis = F.col(TS) if isinstance(fields[TS], IntegralType) else timestamp_to_ms(F.col(TS))
@@ -173,9 +173,10 @@ class CandleStore:
         self._store(self._prepare(df, _ingest_id(ingest_id)), mode)
 
     def append_new(self, df: DataFrame, ingest_id: int | None = None) -> None:
-        """Append only rows whose (series, timestamp) is not stored yet; one row per timestamp.
+        """Append rows whose (series, timestamp) is not stored yet or was stored with other values.
 
-        ``df`` is written to scratch first, as it is used several times and may come from this
+        A changed row is a correction: ``read_latest_wins`` and ``latest`` return it. One row per
+        timestamp is taken; running it again adds nothing. ``df`` is written to scratch first, as it is used several times and may come from this
         very store. Only its date range (and, if few, its series) is read from the store.
         """
         with materialised(self._prepare(df, _ingest_id(ingest_id)), self.spark) as rows:
@@ -188,7 +189,9 @@ class CandleStore:
         if new:
             self._record_schema(new)
         if mode == "overwrite":
-            self._replace_series(rows)
+            # Computed once: the list of written partitions must be that of the written rows.
+            with materialised(rows, self.spark) as staged:
+                self._replace_series(staged)
         else:
             self._save(rows, "append")
 
@@ -222,12 +225,22 @@ class CandleStore:
             self._delete(stale.select("directory"))
 
     def _only_new(self, rows: DataFrame) -> DataFrame | None:
-        """Prepared rows that the store does not hold, one per series and timestamp."""
+        """Prepared rows that the store does not hold as they are, one per series and timestamp."""
         keys = [*KEY, TS]
         stored = self._scan_near(rows)
         if stored is None:
             return None
-        return top_row(rows, keys, [INGEST]).join(stored.select(*keys), keys, "left_anti")
+        known = {field.name: field.dataType for field in self._stored_fields()}
+        compared = [c for c in rows.columns if c not in {*keys, *self.layout.columns, INGEST}]
+        held = [name for name in compared if name in known]
+        newest = top_row(stored.select(*keys, INGEST, *held), keys, [INGEST]).drop(INGEST)
+        newest = newest.select(
+            *keys, F.lit(True).alias("_held"), *[F.col(name).alias(f"_was_{name}") for name in held]
+        )
+        same = [F.col(name).cast(known[name]).eqNullSafe(F.col(f"_was_{name}")) for name in held]
+        same += [F.col(name).isNull() for name in compared if name not in known]
+        joined = top_row(rows, keys, [INGEST]).join(newest, keys, "left")
+        return joined.filter(F.col("_held").isNull() | ~_all(same)).select(*rows.columns)
 
     def _scan_near(self, rows: DataFrame) -> DataFrame | None:
         """Every stored row ``rows`` could meet, by constant bounds; None for no rows."""
@@ -331,6 +344,7 @@ class CandleStore:
         ``timestamp`` comes back as epoch milliseconds. ``columns`` may leave out filter columns;
         by default it is the key, the record and extra columns.
         """
+        start, end, where = _time_bounds(where, to_ms(start), to_ms(end))
         df = self._scan_range(key, start, end, prune_dates)
         if where:
             df = df.filter(conditions_to_column(where, {TS: timestamp_to_ms(F.col(TS))}))
@@ -448,6 +462,24 @@ def _all(terms: Iterable[Column]) -> Column:
     return functools.reduce(lambda a, b: a & b, terms, F.lit(True))
 
 
+def _time_bounds(
+    where: Sequence[Condition], lo: int | None, hi: int | None
+) -> tuple[int | None, int | None, list[Condition]]:
+    """Closed time bounds that include the time conditions of ``where``, and its other conditions."""
+    rest = []
+    for name, op, value in where:
+        if name != TS or op not in ("=", "==", "<", "<=", ">", ">=") or type(value) is not int:
+            rest.append((name, op, value))
+            continue
+        if op in ("=", "==", ">", ">="):
+            first = value + (op == ">")
+            lo = first if lo is None else max(lo, first)
+        if op in ("=", "==", "<", "<="):
+            last = value - (op == "<")
+            hi = last if hi is None else min(hi, last)
+    return lo, hi, rest
+
+
 def _with_ms(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(
         *[timestamp_to_ms(F.col(TS)).alias(TS) if name == TS else F.col(name) for name in columns]

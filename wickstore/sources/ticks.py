@@ -12,23 +12,12 @@ from wickstore.operators.reduce import wide_key
 from wickstore.schema import KEY, TS, VALUES
 
 
-def tick_aggregates(price: str, size: str, order: str, scale: int = 2) -> list[Column]:
-    """Open, high, low, close and volume of a group of ticks; open and close follow ``order``.
-
-    Sizes are added as whole numbers of ``10**-scale``, so the sum is exact and the same for
-    every split of the data.
-    """
-    unit = float(10**scale)
-    return [
-        F.min_by(price, order).alias("open"),
-        F.max(price).alias("high"),
-        F.min(price).alias("low"),
-        F.max_by(price, order).alias("close"),
-        (F.sum(F.floor(F.col(size) * unit + 0.5)) / F.lit(unit)).alias("volume"),
-    ]
+def exact(size: str) -> Column:
+    """A size as a decimal with 18 places, so that sums are exact and the same for every split of the data."""
+    return F.col(size).cast("decimal(38,18)")
 
 
-def candles_from_ticks(
+def partial_candles(
     ticks: DataFrame,
     interval: str,
     price: str = "price",
@@ -36,16 +25,9 @@ def candles_from_ticks(
     micros: str = "micros",
     tick_id: str | None = "tick_id",
     keys: Sequence[str] = ("data_type", "exchange", "coin"),
-    scale: int = 2,
 ) -> DataFrame:
-    """One candle per series and ``interval``.
-
-    ``ticks`` has the ``keys``, an epoch-microsecond time, a whole-number id that orders ticks of
-    the same instant, a price and a size. ``tick_id=None`` says that instants never repeat within
-    a series. One shuffle, of partial candles only.
-    """
-    step = interval_to_ms(interval)
-    micros_step = step * 1000
+    """Candles that can still be merged: with the order keys of open and close, and the exact volume."""
+    micros_step = interval_to_ms(interval) * 1000
     start = F.call_function(
         "div", F.col(micros) - F.pmod(F.col(micros), F.lit(micros_step)), F.lit(1000)
     )
@@ -53,7 +35,52 @@ def candles_from_ticks(
     return (
         ticks.select(*keys, start.alias(TS), order.alias("_order"), price, size)
         .groupBy(*keys, TS)
-        .agg(*tick_aggregates(price, size, "_order", scale))
+        .agg(
+            F.min("_order").alias("_first"),
+            F.max("_order").alias("_last"),
+            F.min_by(price, "_order").alias("open"),
+            F.max(price).alias("high"),
+            F.min(price).alias("low"),
+            F.max_by(price, "_order").alias("close"),
+            F.sum(exact(size)).alias("volume"),
+        )
+    )
+
+
+def merged_candles(partials: DataFrame, interval: str, keys: Sequence[str]) -> DataFrame:
+    """Candles of several sets of partial candles."""
+    return (
+        partials.groupBy(*keys, TS)
+        .agg(
+            F.min_by("open", "_first").alias("open"),
+            F.max("high").alias("high"),
+            F.min("low").alias("low"),
+            F.max_by("close", "_last").alias("close"),
+            F.sum("volume").cast("double").alias("volume"),
+        )
         .withColumn("interval", F.lit(interval))
         .select(*KEY, TS, *VALUES)
     )
+
+
+def candles_from_ticks(
+    ticks: DataFrame,
+    interval: str,
+    price: str = "price",
+    size: str = "size",
+    micros: str = "micros",
+    tick_id: str | None = "tick_id",
+    keys: Sequence[str] = ("data_type", "exchange", "coin"),
+) -> DataFrame:
+    """One candle per series and ``interval``.
+
+    ``ticks`` has the ``keys``, an epoch-microsecond time, a whole-number id that orders ticks of
+    the same instant, a price and a size. ``tick_id=None`` says that instants never repeat within
+    a series. Sizes are added exactly, to 18 places. One shuffle, of partial candles only.
+    """
+    partials = partial_candles(ticks, interval, price, size, micros, tick_id, keys)
+    return (
+        partials.withColumn("interval", F.lit(interval))
+        .withColumn("volume", F.col("volume").cast("double"))
+        .select(*KEY, TS, *VALUES)
+    )

@@ -8,12 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from wickstore.functions.epoch import interval_to_ms
-from wickstore.operators.reduce import wide_key
-from wickstore.schema import KEY, TS, VALUES
+from wickstore.functions.epoch import floor_div
+from wickstore.schema import DAY_MS, KEY, TS
 from wickstore.session import materialised
 from wickstore.sources.store import CandleStore
-from wickstore.sources.ticks import tick_aggregates
+from wickstore.sources.ticks import merged_candles, partial_candles
 
 
 def _start(writer, checkpoint: str, trigger: dict) -> StreamingQuery:
@@ -27,10 +26,10 @@ def ingest_candles(
     watermark: str | None = None,
     trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Append each (series, timestamp) of a candle stream to ``store`` once.
+    """Append each (series, timestamp) of a candle stream to ``store`` once, and again when it changes.
 
     Every micro-batch leaves out what the store already holds, so a replayed batch or a repeated
-    candle adds nothing and a late one is kept. ``watermark`` adds a first, in-memory removal of
+    candle adds nothing; a late or corrected one is kept. ``watermark`` adds a first, in-memory removal of
     repeats; it needs less store reading, but rows later than the watermark are then dropped.
     """
     if watermark:
@@ -53,36 +52,36 @@ def stream_candles(
     interval: str,
     store: CandleStore,
     checkpoint: str,
-    watermark: str = "1 day",
     keys: Sequence[str] = ("data_type", "exchange", "coin"),
-    scale: int = 2,
+    partials: str | None = None,
     trigger: dict | None = None,
 ) -> StreamingQuery:
     """Build candles of ``interval`` from a tick stream and keep ``store`` up to date.
 
-    Open candles are written as they grow; a later version replaces an earlier one when the store
-    is read with ``read_latest_wins``. ``ticks`` has the ``keys``, ``micros``, ``tick_id``,
-    ``price`` and ``size``. Ticks later than the watermark are dropped by the engine, which is
-    what bounds the state.
+    Each micro-batch lands its partial candles in the folder ``partials`` (beside the checkpoint
+    by default) and merges those of the candles it touches, so ticks of any age count and no state
+    is held. A replayed batch replaces its own partial candles. Open candles are written as they
+    grow; a later version replaces an earlier one when the store is read with
+    ``read_latest_wins``. ``ticks`` has the ``keys``, ``micros``, ``tick_id``, ``price``, ``size``.
     """
-    length = f"{interval_to_ms(interval)} milliseconds"
-    order = wide_key(F.col("micros"), F.col("tick_id"))
-    candles = (
-        ticks.withColumn("_at", F.timestamp_micros(F.col("micros")))
-        .withWatermark("_at", watermark)
-        .withColumn("_order", order)
-        .groupBy(*keys, F.window("_at", length).alias("_window"))
-        .agg(*tick_aggregates("price", "size", "_order", scale))
-        .withColumn("interval", F.lit(interval))
-        .withColumn(TS, F.unix_millis("_window.start"))
-        .select(*KEY, TS, *VALUES)
-    )
-
-    def upsert(batch: DataFrame, _batch_id: int) -> None:
+    root = partials or f"{checkpoint.rstrip('/')}-partials"
+    group = [*keys, TS]
+
+    def upsert(batch: DataFrame, batch_id: int) -> None:
         # A micro-batch runs without adaptive execution, which the store's file layout relies on;
         # the rows move to the store's own session.
-        with materialised(batch, store.spark) as rows:
-            store.write(rows, "append")
-
-    writer = candles.writeStream.outputMode("update").foreachBatch(upsert)
+        with materialised(partial_candles(batch, interval, keys=keys), store.spark) as fresh:
+            day = floor_div(F.col(TS), DAY_MS)
+            days = [row["day"] for row in fresh.select(day.alias("day")).distinct().collect()]
+            if not days:
+                return
+            dated = fresh.withColumn("day", day)
+            dated.repartition("day").write.mode("overwrite").partitionBy("day").parquet(
+                f"{root}/batch={batch_id}"
+            )
+            landed = store.spark.read.option("basePath", root).parquet(f"{root}/batch=*")
+            touched = landed.filter(F.col("day").isin(days)).join(fresh.select(*group), group, "left_semi")
+            store.append_new(merged_candles(touched, interval, keys))
+
+    writer = ticks.writeStream.foreachBatch(upsert)
     return _start(writer, checkpoint, trigger or {"availableNow": True})
