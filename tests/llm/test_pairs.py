@@ -48,7 +48,8 @@ def test_near_duplicates_match_brute_force(spark, near_texts):
     assert len(got) == len(sets)
 
 
-def test_variants_connect_through_their_original_only(spark):
+@pytest.mark.parametrize("nearest", [3, 1])
+def test_variants_connect_through_their_original_only(spark, monkeypatch, nearest):
     """Copies that reach the threshold with one text but not with each other, in several blocks."""
     rng = random.Random(9)
     base = [f"w{n}" for n in range(120)]
@@ -59,15 +60,25 @@ def test_variants_connect_through_their_original_only(spark):
         texts.append((n + 1, " ".join(copy)))
     texts.append((100, " ".join(base)))
     rng.shuffle(texts)
-    before, minhash.BLOCK = minhash.BLOCK, 16
-    try:
-        got = minhash.near_duplicates(documents(spark, texts)).collect()
-    finally:
-        minhash.BLOCK = before
+    for name, size in (("BLOCK", 16), ("FEW", 4), ("SETS", 16), ("COLUMNS", 32)):
+        monkeypatch.setattr(minhash, name, size)
+    got = minhash.near_duplicates(documents(spark, texts), nearest=nearest).collect()
     assert {r.component_id for r in got} == {1}
     assert [r.doc_id for r in got if r.kept] == [1]
 
 
+def test_shared_counts():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 300, n).astype(np.uint64)) for n in (5, 90, 200, 1, 60)]
+    got = minhash.shared_counts(sets)
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            if i != j:
+                assert got[i, j] == len(np.intersect1d(a, b))
+
+
 def test_representatives_keep_one_of_each_group(spark):
     text = "a b c d e f g h i j"
     rows = [(4, text), (2, text.upper()), (2, text.upper()), (7, None), (None, text), (9, "other words altogether here now")]

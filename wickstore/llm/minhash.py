@@ -24,6 +24,10 @@ HASHES, BITS = 128, 4
 BANDS, ROWS = 25, 5
 #: Classes of one bucket that are compared in one block.
 BLOCK = 2048
+#: Buckets with more classes compare full sets in blocks of this size; smaller ones make pairs.
+FEW, SETS = 64, 1024
+#: Columns of a block's incidence matrix at a time.
+COLUMNS = 4096
 #: Standard deviations below the threshold at which an estimate still counts.
 MARGIN = 5.0
 
@@ -197,9 +201,58 @@ def _sets(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "set binary, members binary")
 
 
-def confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of class digests whose full sets reach the threshold."""
-    nodes = pairs.select(F.col("a").alias("set")).union(pairs.select(F.col("b").alias("set"))).distinct()
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets, as products of their incidence matrix.
+
+    Members of one set only share nothing and are left out.
+    """
+    members = np.concatenate(sets)
+    values, column, counts = np.unique(members, return_inverse=True, return_counts=True)
+    places = np.cumsum(counts > 1) - 1
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    common = counts[column] > 1
+    row, column = row[common], places[column[common]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    total = np.zeros((len(sets), len(sets)), np.float32)
+    for first in range(0, int((counts > 1).sum()), COLUMNS):
+        low, high = np.searchsorted(column, [first, first + COLUMNS])
+        part = np.zeros((len(sets), COLUMNS), np.float32)
+        part[row[low:high], column[low:high] - first] = 1
+        total += part @ part.T
+    return total
+
+
+def _joined(percent: int):
+    """Links between classes of a block, one for each two components that they join."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for names, members, labels in _runs(batches):
+            sets = [np.frombuffer(m, np.uint64) for m in members]
+            codes = {x: n for n, x in enumerate(dict.fromkeys(labels))}
+            label = np.array([codes[x] for x in labels])
+            sizes = np.array([len(s) for s in sets])
+            both = shared_counts(sets)
+            linked = (100 * both >= percent * (sizes[:, None] + sizes - both)) & (label[:, None] < label)
+            owner = list(range(len(codes)))
+            found = []
+            for i, j in zip(*np.nonzero(linked)):
+                a, b = int(label[i]), int(label[j])
+                while owner[a] != a:
+                    owner[a] = a = owner[owner[a]]
+                while owner[b] != b:
+                    owner[b] = b = owner[owner[b]]
+                if a != b:
+                    owner[max(a, b)] = min(a, b)
+                    found.append((min(names[i], names[j]), max(names[i], names[j])))
+            if found:
+                yield _emit(found)
+
+    return run
+
+
+def _full_sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> tuple[DataFrame, str]:
+    """(set, members) of the classes in ``nodes``, from the text of one of their documents."""
     ids, path = kept_copy(classes.join(nodes, "set").select(F.col("first").alias("doc_id")), "ids")
     spark = docs.sparkSession
     texts = rows_with(docs.select("doc_id", "text"), ids.distinct(), "doc_id", ids.count())
@@ -207,6 +260,13 @@ def confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: in
         _sets(texts).join(nodes, "set", "left_semi").dropDuplicates(["set"]), "sets"
     )
     drop_copy(spark, path)
+    return members, members_path
+
+
+def confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of class digests whose full sets reach the threshold."""
+    nodes = pairs.select(F.col("a").alias("set")).union(pairs.select(F.col("b").alias("set"))).distinct()
+    members, members_path = _full_sets(docs, classes, nodes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -226,7 +286,7 @@ def confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: in
     links, _ = kept_copy(
         sided.select("a", "b", "left", "right").mapInArrow(run, "a binary, b binary"), "confirmed"
     )
-    drop_copy(spark, members_path)
+    drop_copy(docs.sparkSession, members_path)
     return links
 
 
@@ -241,7 +301,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, nearest: int = 3) -> Dat
 
     A bucket of many classes is dealt into blocks. First each class is confirmed against its ``nearest``
     candidates of the block, which connects groups of copies with few pairs; then only classes of one bucket
-    that are still in different components are compared with each other, all of them.
+    that are still in different components are compared with each other, all of them: as pairs in small
+    buckets; in large ones block by block on the full sets inside a task, which gives one link for each two
+    components that it joins.
     """
     spark = docs.sparkSession
     least = lowest_estimate(percent / 100)
@@ -276,10 +338,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, nearest: int = 3) -> Dat
     largest = counts.groupBy("key").agg(
         F.max(F.struct("k", "label"))["label"].alias("main"), F.count("*").alias("labels")
     )
-    open_buckets = named.join(largest.filter("labels > 1"), "key")
+    open_buckets, open_path = kept_copy(named.join(largest.filter("labels > 1"), "key"), "open")
     others = F.col("label") != F.col("main")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    spread = open_buckets.withColumns(
+    spread = open_buckets.filter(F.col("n") <= FEW).withColumns(
         {
             "block": F.explode(
                 F.when(others, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(block))
@@ -290,6 +352,24 @@ def near_duplicates(docs: DataFrame, percent: int = 85, nearest: int = 3) -> Dat
     across, across_path = kept_copy(compared(spread.join(packs, "set"), _across(least)), "pairs")
     fresh = across.join(pairs, ["a", "b"], "left_anti")
     more = confirmed(docs, classes, fresh, percent)
+
+    many = open_buckets.filter(F.col("n") > FEW)
+    members, members_path = _full_sets(docs, classes, many.select("set").distinct())
+    sides = F.ceil(F.col("n") / SETS).cast("int")
+    side = F.pmod(F.hash("set"), sides)
+    others = F.filter(F.sequence(F.lit(0), F.greatest(sides - 1, F.lit(1))), lambda x: (x != side))
+    pair = F.transform(
+        F.when(sides > 1, F.filter(others, lambda x: x < sides)).otherwise(F.array(F.lit(0))),
+        lambda x: F.least(x, side) * sides + F.greatest(x, side),
+    )
+    dealt = many.withColumn("block", F.explode(pair)).join(members, "set")
+    dealt = dealt.select("key", "block", "set", F.col("members").alias("signature"), "label")
+    joined = dealt.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(
+        _joined(percent), "a binary, b binary"
+    )
+    joined, _ = kept_copy(joined.distinct(), "joined")
+    drop_copy(spark, members_path)
+    more = more.union(joined)
     if not more.isEmpty():
         labels = components(links.union(more), "a", "b")
     grouped = (
@@ -298,7 +378,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, nearest: int = 3) -> Dat
     )
     smallest = grouped.groupBy("component").agg(F.min("first").alias("component_id"))
     named, _ = kept_copy(grouped.join(smallest, "component").select("set", "component_id"), "components")
-    for path in (classes_path, buckets_path, pairs_path, across_path):
+    for path in (classes_path, buckets_path, pairs_path, across_path, open_path):
         drop_copy(spark, path)
     return (
         signed.select("doc_id", "n_shingles", "set")
