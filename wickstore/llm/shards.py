@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 from wickstore.llm.common import drop_copy, kept_copy
 
 ROUNDS = 6
-#: Share by which a shard may be too full between rounds.
-SLACK = 0.05
 #: Largest unit that moves at once, as a share of a shard; larger groups are dealt into several units.
 UNIT = 0.5
 #: Rows that are numbered in one task, about.
@@ -56,12 +54,12 @@ def _loads(df: DataFrame, shards: int) -> list[int]:
     return loads
 
 
-def propagated(members: DataFrame, singles: list[int], capacity: int, shards: int, rounds: int = ROUNDS) -> DataFrame:
+def propagated(members: DataFrame, capacity: int, shards: int, rounds: int = ROUNDS) -> DataFrame:
     """``members`` (row, unit, shard, ...) with new shards after rounds of label propagation.
 
-    Each unit wishes for the shard that holds most of its members. ``singles`` counts the other rows of each
-    shard. A shard accepts units by hash with the chance at which its quota is met. Only counts per pair of
-    shards come to the driver.
+    Each unit wishes for the shard that holds most of its members; ties fall differently each round. A shard
+    accepts units by hash with the chance at which its members meet its quota; documents without links don't
+    count, since they make room later. Only counts per pair of shards come to the driver.
     """
     spark = members.sparkSession
     rest = [c for c in members.columns if c != "shard"]
@@ -69,13 +67,13 @@ def propagated(members: DataFrame, singles: list[int], capacity: int, shards: in
     for turn in range(rounds):
         votes = members.groupBy("unit", "shard").agg(F.count("*").alias("n"))
         wish = votes.groupBy("unit").agg(
-            F.max(F.struct("n", F.xxhash64("unit", "shard").alias("tie"), "shard"))["shard"].alias("wish")
+            F.max(F.struct("n", F.xxhash64("unit", "shard", F.lit(turn)).alias("tie"), "shard"))["shard"].alias("wish")
         )
         wishes, wish_path = kept_copy(wish, "wishes")
         flows = (
             votes.join(wishes, "unit").filter("shard != wish").groupBy("shard", "wish").agg(F.sum("n").alias("n")).collect()
         )
-        loads = [a + b for a, b in zip(singles, _loads(members, shards))]
+        loads = _loads(members, shards)
         incoming, outgoing = [0] * shards, [0] * shards
         for flow in flows:
             outgoing[flow["shard"]] += flow["n"]
@@ -83,7 +81,7 @@ def propagated(members: DataFrame, singles: list[int], capacity: int, shards: in
         if not sum(incoming):
             drop_copy(spark, wish_path)
             break
-        room = [max(0.0, capacity * (1 + SLACK) - load + out) for load, out in zip(loads, outgoing)]
+        room = [max(0.0, capacity - load + out) for load, out in zip(loads, outgoing)]
         chance = [min(1.0, r / i) if i else 1.0 for r, i in zip(room, incoming)]
         drawn = F.pmod(F.xxhash64("unit", F.lit(turn)), F.lit(1_000_000)) / 1_000_000
         moved = members.join(wishes, "unit").withColumn(
@@ -124,11 +122,12 @@ def balanced(docs: DataFrame, shards: int = 8, rounds: int = ROUNDS) -> DataFram
     )
     sized, sized_path = kept_copy(sized, "sized")
     drop_copy(spark, rows_path)
-    parts = F.ceil(F.col("group_rows") / max(1, int(capacity * UNIT)))
+    most = max(1, int(capacity * UNIT))
+    parts = F.ceil(F.col("group_rows") / most)
     unit = F.xxhash64("g1", "g2", F.pmod(F.xxhash64("row"), parts))
     members = sized.filter("group_rows > 1").select("row", unit.alias("unit"), "shard")
     alone = sized.filter("group_rows = 1")
-    moved = propagated(members, _loads(alone, shards), capacity, shards, rounds)
+    moved = propagated(members, capacity, shards, rounds)
     placed, placed_path = kept_copy(
         alone.select("doc_id", "size", "text_crc32", "row", "group_rows", "shard").unionByName(
             sized.filter("group_rows > 1").drop("shard").join(moved.select("row", "shard"), "row")
@@ -142,9 +141,10 @@ def balanced(docs: DataFrame, shards: int = 8, rounds: int = ROUNDS) -> DataFram
     targets = [count // shards + (s in fuller) for s in range(shards)]
     surplus = [max(0, load - t) for load, t in zip(loads, targets)]
     taken = [sum(surplus[:s]) for s in range(shards)]
-    ranked = _ranked(
-        placed.withColumn("late", F.ceil(F.log2(F.col("group_rows"))).cast("int")), count, shards, "late"
-    )
+    # first those without links, then those whose group is in several parts anyway, then small groups
+    late = F.when(F.col("group_rows") == 1, 0).when(F.col("group_rows") > most, 1)
+    late = late.otherwise(2 + F.ceil(F.log2(F.col("group_rows")))).cast("int")
+    ranked = _ranked(placed.withColumn("late", late), count, shards, "late")
     leaving = F.col("rank") < _by_shard(surplus, F.col("shard"))
     number = F.col("rank") + _by_shard(taken, F.col("shard"))
     goes, filled = F.lit(None).cast("int"), sum(surplus)
