@@ -2,7 +2,9 @@
 
 Statistics of each text are transformed to roughly normal scales. Per language and source, concentration
 steps find the minimum-covariance-determinant estimate: mean and covariance of the rows that lie closest to
-them. A row is rejected when its Mahalanobis distance is beyond a chi-square quantile.
+them. One reweighting step takes the estimate of all rows that are not outlying under it. A group's estimate is
+regularised towards that of its language with a fixed weight in rows, which decides in groups of a few rows and
+vanishes in large ones. A row is rejected when its Mahalanobis distance is beyond a chi-square quantile.
 """
 
 from __future__ import annotations
@@ -25,11 +27,20 @@ GROUP = ("lang", "source")
 #: Share of the rows that a concentration step keeps.
 CORE = 0.75
 STEPS = 4
+#: Quantile within which rows count in the reweighting step.
+INSIDE = 0.99
+#: Rows of its language that a group's covariance and its center weigh in.
+COVARIANCE_ROWS = 30
+CENTER_ROWS = 3
 #: Least variance of each transformed statistic, so that one that hardly varies rejects nothing by itself.
-FLOOR = 0.05
+FLOOR = 0.02
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 FURTHER = ("n_capitals", "n_marks", "n_digits")
+#: Counts that enter as shares of the characters, with the scale of their square root.
+SHARES = {"n_symbols": 5, "n_capitals": 5, "n_marks": 5, "n_digits": 2}
+#: Words of the average text that smooth a text's shares.
+PRIOR_WORDS = 40
 
 
 def _repeated_words(hashes: np.ndarray, starts: np.ndarray) -> list[int]:
@@ -63,7 +74,7 @@ def statistics(docs: DataFrame) -> DataFrame:
 
     ``n_words`` words of the whole text; ``word_chars`` code points in them; ``n_symbols`` of ``#*$%&|<>``;
     ``n_dup_lines`` lines with a word that equal an earlier line; ``n_repeat_words`` words inside 5-word
-    windows found twice or more in the text; ASCII capitals, punctuation marks and digits.
+    windows found twice or more in the text; ASCII capitals, punctuation marks (no digits) and digits.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,8 +90,8 @@ def statistics(docs: DataFrame) -> DataFrame:
                 code_points = (data & 0xC0) != 0x80
                 blank = (data == 32) | ((data >= 9) & (data <= 13))
                 capital = (data >= 65) & (data <= 90)
-                mark = (data > 32) & (data < 127) & ~capital & ~((data >= 97) & (data <= 122))
                 digit = (data >= 48) & (data <= 57)
+                mark = (data > 32) & (data < 127) & ~capital & ~digit & ~((data >= 97) & (data <= 122))
                 view = data.tobytes()
                 lines = [_dup_lines(view[a:b]) for a, b in zip(offsets[:-1], offsets[1:])]
                 columns = [
@@ -105,17 +116,26 @@ def statistics(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", *[F.col(g).cast("string") for g in GROUP], "text").mapInArrow(run, schema)
 
 
-def vector() -> list[Column]:
-    """The transformed statistics: sizes by logarithm, shares of characters or words by square root."""
+def vector(stats: DataFrame) -> list[Column]:
+    """The transformed statistics: sizes by logarithm, shares of characters or words by square root.
+
+    Shares and the mean word length of a text are smoothed by ``PRIOR_WORDS`` words like those of all ``stats``,
+    so that a handful of words is no outlier for its few counts. Digits have a low scale: most texts have none
+    and good ones have numbers, so only many of them stand out.
+    """
+    totals = stats.agg(*[F.sum(n).alias(n) for n in ("n_words", "word_chars", *SHARES)]).first()
+    words = float(totals["n_words"] or 1)
+    prior_chars = PRIOR_WORDS * (totals["word_chars"] or 0) / words
     count = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
-    chars = F.greatest(F.col("word_chars"), F.lit(1)).cast("double")
+    chars = F.greatest(F.col("word_chars") + prior_chars, F.lit(1.0))
+
+    def share(name: str, scale: int) -> Column:
+        return F.sqrt((F.col(name) + PRIOR_WORDS * (totals[name] or 0) / words) / chars) * scale
+
     return [
         F.log(count) / 2,
-        F.log(chars / count) * 3,
-        F.sqrt(F.col("n_symbols") / chars) * 5,
-        F.sqrt(F.col("n_capitals") / chars) * 5,
-        F.sqrt(F.col("n_marks") / chars) * 5,
-        F.sqrt(F.col("n_digits") / chars) * 5,
+        F.log(chars / (count + PRIOR_WORDS)) * 3,
+        *[share(name, scale) for name, scale in SHARES.items()],
     ]
 
 
@@ -145,33 +165,45 @@ def _distance() -> Column:
     return total
 
 
+PAIRS = [(i, j) for i in range(DIMENSIONS) for j in range(i, DIMENSIONS)]
+
+
 def _moments(rows: DataFrame) -> DataFrame:
-    """Count, sums and sums of products per group, pre-aggregated in each task."""
+    """Count, sums and sums of products per group and of its language, pre-aggregated in each task.
+
+    A language's products ``w`` are summed around the centers of its groups.
+    """
     aggregates = [F.count("*").alias("n")]
     aggregates += [F.sum(F.col("v")[i]).alias(f"s{i}") for i in range(DIMENSIONS)]
-    aggregates += [
-        F.sum(F.col("v")[i] * F.col("v")[j]).alias(f"p{i}_{j}")
-        for i in range(DIMENSIONS)
-        for j in range(i, DIMENSIONS)
-    ]
-    return rows.groupBy(*GROUP).agg(*aggregates)
+    aggregates += [F.sum(F.col("v")[i] * F.col("v")[j]).alias(f"p{i}_{j}") for i, j in PAIRS]
+    groups = rows.groupBy(*GROUP).agg(*aggregates)
+    around = [F.sum(F.col(f"p{i}_{j}") - F.col(f"s{i}") * F.col(f"s{j}") / F.col("n")) for i, j in PAIRS]
+    languages = groups.groupBy(F.col("lang").alias("of")).agg(
+        F.sum("n").alias("all_n"),
+        *[F.sum(f"s{i}").alias(f"all_s{i}") for i in range(DIMENSIONS)],
+        *[total.alias(f"w{i}_{j}") for (i, j), total in zip(PAIRS, around)],
+    )
+    return groups.join(languages, F.col("lang").eqNullSafe(F.col("of"))).drop("of")
 
 
 def _fits(moments: DataFrame) -> DataFrame:
-    """Mean and inverse covariance of each group from its sums."""
+    """Center and inverse covariance of each group from its sums, regularised towards its language."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             centers, inverses = [], []
             for row in frame.to_dict("records"):
                 n = row["n"]
-                mean = np.array([row[f"s{i}"] for i in range(DIMENSIONS)]) / n
+                sums = np.array([row[f"s{i}"] for i in range(DIMENSIONS)])
+                mean = sums / n
+                shared = np.array([row[f"all_s{i}"] for i in range(DIMENSIONS)]) / row["all_n"]
                 cov = np.empty((DIMENSIONS, DIMENSIONS))
-                for i in range(DIMENSIONS):
-                    for j in range(i, DIMENSIONS):
-                        cov[i, j] = cov[j, i] = row[f"p{i}_{j}"] / n - mean[i] * mean[j]
+                for i, j in PAIRS:
+                    own = row[f"p{i}_{j}"] - n * mean[i] * mean[j]
+                    weighed = COVARIANCE_ROWS * row[f"w{i}_{j}"] / row["all_n"]
+                    cov[i, j] = cov[j, i] = (own + weighed) / (n + COVARIANCE_ROWS)
                 cov[np.diag_indices(DIMENSIONS)] = np.maximum(cov.diagonal(), 0) + FLOOR
-                centers.append(mean)
+                centers.append((sums + CENTER_ROWS * shared) / (n + CENTER_ROWS))
                 inverses.append(np.linalg.inv(cov).ravel())
             yield pd.DataFrame(
                 {
@@ -193,18 +225,26 @@ def _with_fit(rows: DataFrame, fits: DataFrame) -> DataFrame:
     )
 
 
+def _scaled(rows: DataFrame, fits: DataFrame) -> DataFrame:
+    """``rows`` with ``distance``: the squared distance, scaled down where its median in the group is too large."""
+    measured = _with_fit(rows, fits).withColumn("d", _distance()).drop("center", "inverse", "scale")
+    middle = measured.groupBy(*GROUP).agg(F.percentile_approx("d", 0.5, 2000).alias("middle"))
+    half = _chi_square(0.5, DIMENSIONS)
+    distance = F.col("d") * half / F.greatest("middle", F.lit(half))
+    return _with_fit(measured, middle).withColumn("distance", distance).drop("d", "middle")
+
+
 def outliers(stats: DataFrame, quantile: float = 0.99999) -> DataFrame:
     """``stats`` with ``distance`` and ``outlier``.
 
     The start is the median of each statistic with its quartile spread; each of the ``STEPS`` concentration
-    steps keeps the ``CORE`` of a group closest to the estimate and takes their mean and covariance. All rows
-    take part; none is sampled. Covariances get ``FLOOR`` added on the diagonal. Groups with a null language
-    or source are groups like others. Distances are scaled so that their median is that of a chi-square
-    distribution.
+    steps keeps the ``CORE`` of a group closest to the estimate and takes their mean and covariance; the last
+    step keeps the rows within ``INSIDE``. All rows take part; none is sampled. Covariances get ``FLOOR`` added
+    on the diagonal. Groups with a null language or source are groups like others. Distances with a median
+    beyond that of a chi-square distribution are scaled down to it.
     """
-    rows, rows_path = kept_copy(
-        stats.filter(F.col("n_words") > 0).withColumn("v", F.array(*vector())), "vectors"
-    )
+    rows = stats.filter(F.col("n_words") > 0)
+    rows, _ = kept_copy(rows.withColumn("v", F.array(*vector(rows))), "vectors")
     quartiles = rows.groupBy(*GROUP).agg(
         *[F.percentile_approx(F.col("v")[i], [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i in range(DIMENSIONS)]
     )
@@ -225,12 +265,11 @@ def outliers(stats: DataFrame, quantile: float = 0.99999) -> DataFrame:
         fits, next_path = kept_copy(_fits(_moments(core)), "fits")
         drop_copy(stats.sparkSession, path)
         path = next_path
-    measured = _with_fit(rows, fits).withColumn("d", _distance())
-    middle = measured.groupBy(*GROUP).agg(F.percentile_approx("d", 0.5, 2000).alias("middle"))
-    distance = F.col("d") * _chi_square(0.5, DIMENSIONS) / F.greatest("middle", F.lit(_chi_square(0.5, DIMENSIONS) / 4))
-    scored = _with_fit(measured, middle).withColumn("distance", distance)
+    inner = _scaled(rows, fits).filter(F.col("distance") <= _chi_square(INSIDE, DIMENSIONS))
+    fits, _ = kept_copy(_fits(_moments(inner)), "fits")
+    drop_copy(stats.sparkSession, path)
     limit = _chi_square(quantile, DIMENSIONS)
-    return scored.drop("v", "center", "inverse", "scale", "d", "middle").withColumn(
+    return _scaled(rows, fits).drop("v").withColumn(
         "outlier", F.col("distance") > limit
     ).unionByName(
         stats.filter(F.col("n_words") == 0).withColumns(
