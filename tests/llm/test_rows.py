@@ -191,6 +191,16 @@ def test_outliers_of_a_skewed_group(spark):
     assert [n for n, out in got.items() if out] == [300, 301]
 
 
+def test_outliers_of_small_groups(spark):
+    rng = random.Random(5)
+    say = lambda: " ".join("".join(rng.choice("abcde") for _ in range(rng.randint(2, 9))) for _ in range(rng.randint(10, 90)))
+    rows = [(n, say(), "en" if n % 2 else None, f"s{n % 60}") for n in range(240)]
+    rows += [(240, " ".join("#$%&*" for _ in range(60)), "en", "lone"), (241, say(), "fr", "lone"), (242, None, "fr", None)]
+    got = rules.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert len(got) == len(rows)
+    assert sorted(r.doc_id for r in got if r.outlier) == [240, 242]
+
+
 def plain_kneser_ney(texts, order):
     counts = [Counter() for _ in range(order + 1)]
     for text in texts:

@@ -226,9 +226,18 @@ def _with_fit(rows: DataFrame, fits: DataFrame) -> DataFrame:
 
 
 def _scaled(rows: DataFrame, fits: DataFrame) -> DataFrame:
-    """``rows`` with ``distance``: the squared distance, scaled down where its median in the group is too large."""
+    """``rows`` with ``distance``: the squared distance, scaled down where its median in the group is too large.
+
+    The median is regularised towards the language's like the covariance, or a lone row would excuse itself.
+    """
     measured = _with_fit(rows, fits).withColumn("d", _distance()).drop("center", "inverse", "scale")
-    middle = measured.groupBy(*GROUP).agg(F.percentile_approx("d", 0.5, 2000).alias("middle"))
+    median = F.percentile_approx("d", 0.5, 2000)
+    shared = measured.groupBy(F.col("lang").alias("of")).agg(median.alias("all_middle"))
+    own = measured.groupBy(*GROUP).agg(F.count("*").alias("n"), median.alias("own_middle"))
+    weighed = F.col("n") * F.col("own_middle") + COVARIANCE_ROWS * F.col("all_middle")
+    middle = own.join(shared, F.col("lang").eqNullSafe(F.col("of"))).select(
+        *GROUP, (weighed / (F.col("n") + COVARIANCE_ROWS)).alias("middle")
+    )
     half = _chi_square(0.5, DIMENSIONS)
     distance = F.col("d") * half / F.greatest("middle", F.lit(half))
     return _with_fit(measured, middle).withColumn("distance", distance).drop("d", "middle")
@@ -239,7 +248,7 @@ def outliers(stats: DataFrame, quantile: float = 0.99999) -> DataFrame:
 
     The start is the median of each statistic with its quartile spread; each of the ``STEPS`` concentration
     steps keeps the ``CORE`` of a group closest to the estimate and takes their mean and covariance; the last
-    step keeps the rows within ``INSIDE``. All rows take part; none is sampled. Covariances get ``FLOOR`` added
+    step keeps the rows within ``INSIDE``, and the earlier estimate of a group without any. All rows take part; none is sampled. Covariances get ``FLOOR`` added
     on the diagonal. Groups with a null language or source are groups like others. Distances with a median
     beyond that of a chi-square distribution are scaled down to it.
     """
@@ -266,8 +275,11 @@ def outliers(stats: DataFrame, quantile: float = 0.99999) -> DataFrame:
         drop_copy(stats.sparkSession, path)
         path = next_path
     inner = _scaled(rows, fits).filter(F.col("distance") <= _chi_square(INSIDE, DIMENSIONS))
-    fits, _ = kept_copy(_fits(_moments(inner)), "fits")
+    again, again_path = kept_copy(_fits(_moments(inner)), "fits")
+    none_inside = fits.join(again, [fits[g].eqNullSafe(again[g]) for g in GROUP], "left_anti")
+    fits, _ = kept_copy(again.unionByName(none_inside), "fits")
     drop_copy(stats.sparkSession, path)
+    drop_copy(stats.sparkSession, again_path)
     limit = _chi_square(quantile, DIMENSIONS)
     return _scaled(rows, fits).drop("v").withColumn(
         "outlier", F.col("distance") > limit
