@@ -226,6 +226,33 @@ def test_chunks_resist_insertions_and_report_passages(spark):
     assert {r.doc_id for r in got if r.is_first} == {r.first_doc_id for r in got} == {30, 3}
 
 
+def test_a_copied_document_holds_a_passage_of_another(spark):
+    rng = random.Random(12)
+    names = vocabulary(rng, 3000)
+    say = lambda n: " ".join(rng.choice(names) for _ in range(n))
+    passage, before, after = say(200), say(150), say(150)
+    whole = f"{before} {passage} {after}"
+    twice = say(200)
+    rows = [(3, f"{say(60)} {passage} {say(60)}"), (7, whole), (9, whole), (11, f"{twice} {say(60)} {twice}")]
+    got = chunks.repeated_passages(documents(spark, rows)).collect()
+
+    def covered(doc, is_first, part, last=False):
+        text = dict(rows)[doc].encode()
+        at = (text.rindex if last else text.index)(part.encode())
+        bits = [
+            any(r.start <= n < r.start + r.length for r in got if r.doc_id == doc and r.is_first == is_first)
+            for n in range(at, at + len(part))
+        ]
+        return sum(bits) / len(bits)
+
+    assert covered(3, True, passage) > 0.6 and covered(3, False, passage) == 0
+    assert covered(7, False, passage) > 0.6 and covered(7, True, passage) < 0.2
+    assert min(covered(7, True, before), covered(7, True, after)) > 0.6
+    assert covered(9, False, whole) > 0.9 and covered(9, True, whole) == 0
+    assert covered(11, True, twice) > 0.6 and covered(11, False, twice, last=True) > 0.6
+    assert covered(11, False, twice) == covered(11, True, twice, last=True) == 0
+
+
 def test_cuts_cover_the_text():
     import numpy as np
 

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wickstore.llm.common import kept_copy
@@ -81,18 +81,25 @@ def chunked(docs: DataFrame, average: int, most: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, CHUNKS)
 
 
+def _place() -> Column:
+    """Where a chunk stands, in order; a null doc_id comes last."""
+    return F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash", "start")
+
+
 def repeated_passages(
     docs: DataFrame, average: int = 32, most: int = 4096, least_bytes: int = 160
 ) -> DataFrame:
     """(doc_id, start, length, first_doc_id, n_places, is_first) of the repeated passages of all documents.
 
     A passage is a longest run of neighbouring chunks that each occur more than once in the table, of
-    ``least_bytes`` bytes or more; ``start`` and ``length`` count UTF-8 bytes. Each chunk has a smallest doc_id
-    that holds it; ``first_doc_id`` is the largest of these in the passage, so that short chunks met by chance
-    in earlier documents don't hide where the passage came from. ``is_first`` says that it is this document: a
-    dedup that keeps first copies keeps it. ``n_places`` is the most places that one of the chunks has. Null
-    and empty texts have no chunks. A text with several rows of one id counts each row. Further columns are
-    ignored; an empty table gives an empty result.
+    ``least_bytes`` bytes or more; ``start`` and ``length`` count UTF-8 bytes. Each chunk has a first place:
+    the smallest doc_id that holds it, and there the smallest start. A run holds either chunks at their first
+    place or chunks that repeat an earlier place, never both, and ``is_first`` says which: a dedup that keeps
+    first copies keeps the former and may drop the latter, also where the earlier place is in the same
+    document. ``first_doc_id`` is the largest of the chunks' first doc_ids, so that short chunks met by chance
+    in earlier documents don't hide where the passage came from. ``n_places`` is the most places that one of
+    the chunks has. Null and empty texts have no chunks; a null doc_id comes after all others. A text with
+    several rows of one id counts each row. Further columns are ignored; an empty table gives an empty result.
 
     Digests are grouped with a partial count per task before the shuffle, and only digests that occur twice
     go on, so a passage that everyone shares is one row until it is joined back.
@@ -100,29 +107,22 @@ def repeated_passages(
     chunks = chunked(docs, average, most)
     places = (
         chunks.groupBy("digest", "length")
-        .agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc_id"))
+        .agg(F.count("*").alias("n"), F.min(_place()).alias("first"))
         .filter("n > 1")
     )
     shared, _ = kept_copy(places, "digests")
     hits = chunks.join(shared, ["digest", "length"])
-    text = Window.partitionBy("doc_id", "text_hash").orderBy("chunk")
+    hits = hits.dropDuplicates(["doc_id", "text_hash", "chunk"]).withColumn("is_first", F.col("first") == _place())
+    text = Window.partitionBy("doc_id", "text_hash", "is_first").orderBy("chunk")
     runs = (
-        hits.dropDuplicates(["doc_id", "text_hash", "chunk"])
-        .withColumn("run", F.col("chunk") - F.row_number().over(text))
-        .groupBy("doc_id", "text_hash", "run")
+        hits.withColumn("run", F.col("chunk") - F.row_number().over(text))
+        .groupBy("doc_id", "text_hash", "is_first", "run")
         .agg(
             F.min("start").cast("long").alias("start"),
             F.sum("length").alias("length"),
-            F.max("first_doc_id").alias("first_doc_id"),
+            F.max("first.doc_id").alias("first_doc_id"),
             F.max("n").alias("n_places"),
         )
         .filter(F.col("length") >= least_bytes)
     )
-    return runs.select(
-        "doc_id",
-        "start",
-        "length",
-        "first_doc_id",
-        "n_places",
-        (F.col("first_doc_id").eqNullSafe(F.col("doc_id"))).alias("is_first"),
-    )
+    return runs.select("doc_id", "start", "length", "first_doc_id", "n_places", "is_first")
