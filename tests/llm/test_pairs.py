@@ -253,6 +253,31 @@ def test_a_copied_document_holds_a_passage_of_another(spark):
     assert covered(11, False, twice) == covered(11, True, twice, last=True) == 0
 
 
+def test_passages_of_51_words_are_found_whole(spark):
+    rng = random.Random(51)
+    names = vocabulary(rng, 3000)
+    say = lambda n: " ".join(rng.choice(names) for _ in range(n))
+    planted = [say(51) for _ in range(500)]
+    rows = [*enumerate(f"{say(9)} {p} {say(9)}" for p in planted), *enumerate((f"{say(7)} {p} {say(7)}" for p in planted), 1000)]
+    got = chunks.repeated_passages(documents(spark, rows)).collect()
+    texts, found = dict(rows), {}
+    for r in got:
+        found.setdefault(r.doc_id, []).append((texts[r.doc_id].encode()[r.start : r.start + r.length].decode(), r.is_first))
+    whole = sum(any(p in text and not first for text, first in found.get(1000 + n, [])) for n, p in enumerate(planted))
+    kept = sum(any(p in text and first for text, first in found.get(n, [])) for n, p in enumerate(planted))
+    assert (whole, kept) == (500, 500)
+
+
+def test_passages_with_short_words_and_periods(spark):
+    rng = random.Random(5)
+    say = lambda n: " ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    short = say(60)
+    rows = [(1, f"{say(30)} {short} {say(30)}"), (2, f"{say(41)} {short} {say(40)}"), (3, "word " * 400), (4, "x" * 5000), (4, "x" * 5000)]
+    got = chunks.repeated_passages(documents(spark, rows)).collect()
+    assert any(r.doc_id == 2 and not r.is_first and r.length >= len(short) for r in got)
+    assert sum(r.length for r in got if r.doc_id == 3 and not r.is_first) > 1800
+
+
 def test_cuts_cover_the_text():
     import numpy as np
 
