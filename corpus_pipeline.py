@@ -23,9 +23,9 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that an earlier place has, give or take two edits."""
+    """Documents without lines that an earlier place has, give or take two edits (short lines: exactly)."""
     drop_copies(spark)
-    return lines.without_repeated_lines(docs)
+    return lines.without_repeated_lines(docs, short=True)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

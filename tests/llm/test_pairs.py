@@ -5,6 +5,7 @@ import random
 import duckdb
 import pytest
 
+import corpus_pipeline
 from tests.llm.helpers import AWKWARD, documents, edits, groups, shingles
 from wickstore.llm import chunks, decontaminate, lines, minhash
 from wickstore.llm.common import table
@@ -162,6 +163,17 @@ def test_lines_match_brute_force(spark, monkeypatch):
             assert d not in kept
 
 
+def test_short_lines_are_grouped_when_equal(spark, tmp_path):
+    rows = [(1, "Home\n\nShare\nthis line is long enough here"), (2, " Home \nHomes\nthis line is long enough, here"), (3, "Home")]
+    documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.doc_id, r.line_no): r for r in QUERIES["op1_line_dedup"](spark, str(tmp_path)).collect()}
+    assert set(got) == {(1, 0), (1, 2), (1, 3), (2, 0), (2, 1), (2, 2), (3, 0)}
+    assert {at for at, r in got.items() if not r.kept} == {(2, 0), (2, 2), (3, 0)}
+    assert [(got[2, n].n_copies, got[2, n].n_links) for n in range(3)] == [(3, 0), (1, 0), (1, 1)]
+    left = corpus_pipeline.line_dedup(spark, documents(spark, rows), str(tmp_path)).collect()
+    assert {r.doc_id: r.text for r in left} == {1: rows[0][1], 2: "Homes"}
+
+
 def test_band_distance_matches_full_table(spark):
     rng = random.Random(8)
     for k in (1, 3):

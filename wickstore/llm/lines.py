@@ -15,7 +15,7 @@ from wickstore.llm.common import drop_copy, kept_copy, rows_with
 from wickstore.llm.graph import components
 
 EDITS = 2
-#: Lines with fewer characters are left alone: within a few edits they are not the same line.
+#: Lines with fewer characters are only compared exactly: within a few edits they are not the same line.
 LEAST_CHARS = 20
 BLANK = " \t\v\f\r"
 #: Characters whose counts keep distant lines apart before their texts are fetched; any sixteen will do.
@@ -26,13 +26,13 @@ PARTS = 8
 LINES = 1_000_000_000
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, line, position): the trimmed lines of at least ``LEAST_CHARS`` characters."""
+def lines_of(docs: DataFrame, short: bool = False) -> DataFrame:
+    """(doc_id, line_no, line, position): trimmed lines of ``LEAST_CHARS`` characters; if ``short``, of any but none."""
     number = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).cast("decimal(38,0)")
     return (
         docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
         .withColumn("line", F.btrim("line", F.lit(BLANK)))
-        .filter(F.char_length("line") >= LEAST_CHARS)
+        .filter(F.char_length("line") >= (1 if short else LEAST_CHARS))
         .withColumn("position", (number * LINES + F.col("line_no")).cast("decimal(38,0)"))
     )
 
@@ -209,16 +209,16 @@ def linked_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     return links
 
 
-def line_classes(docs: DataFrame, edits: int = EDITS) -> DataFrame:
+def line_classes(docs: DataFrame, edits: int = EDITS, short: bool = False) -> DataFrame:
     """(h1, h2, n_copies, n_links, first): classes of the lines that are repeated or linked.
 
     Lines are told by two hashes of their trimmed text. ``n_copies`` counts its places, ``n_links`` the
     different lines within ``edits`` edits, ``first`` is the smallest position of the whole class.
     """
     spark = docs.sparkSession
-    lines = lines_of(docs).groupBy("line").agg(F.min("position").alias("position"), F.count("*").alias("n_copies"))
+    lines = lines_of(docs, short).groupBy("line").agg(F.min("position").alias("position"), F.count("*").alias("n_copies"))
     lines, path = kept_copy(lines.withColumn("letters", _letters()), "lines")
-    links = linked_lines(lines, edits)
+    links = linked_lines(lines.filter(F.char_length("line") >= LEAST_CHARS), edits)
     labels = components(links, "a", "b")
     ends = links.select(F.col("a").alias("position")).union(links.select(F.col("b").alias("position")))
     degrees = ends.groupBy("position").agg(F.count("*").alias("n_links"))
@@ -234,16 +234,18 @@ def line_classes(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     return classes
 
 
-def _marked(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    lines = lines_of(docs).select(
+def _marked(docs: DataFrame, classes: DataFrame, short: bool) -> DataFrame:
+    lines = lines_of(docs, short).select(
         "doc_id", "line_no", "position", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")
     )
     return lines.join(classes, ["h1", "h2"], "left")
 
 
-def deduplicated_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
+def deduplicated_lines(docs: DataFrame, edits: int = EDITS, short: bool = False) -> DataFrame:
     """Per line of ``docs`` with at least ``LEAST_CHARS`` characters: its class and whether it stays.
 
+    With ``short``, every line that isn't blank; those below ``LEAST_CHARS`` are grouped with equal ones only.
+
     Columns: doc_id, line_no (from 0), class_doc_id and class_line_no (the first place of any line of the
     class), n_copies (places of the equal line), n_links (different lines within ``edits`` edits), kept (it is
     that first place). Lines are trimmed of ASCII white space; a class holds the lines that chains of links
@@ -251,7 +253,7 @@ def deduplicated_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     count as the same document, so equal lines at equal places stay together. Further columns are ignored; an
     empty table gives an empty result.
     """
-    marked = _marked(docs, line_classes(docs, edits))
+    marked = _marked(docs, line_classes(docs, edits, short), short)
     first = F.coalesce("first", "position")
     number = F.floor(first / LINES)
     return marked.select(
@@ -265,14 +267,14 @@ def deduplicated_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     )
 
 
-def without_repeated_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
+def without_repeated_lines(docs: DataFrame, edits: int = EDITS, short: bool = False) -> DataFrame:
     """``docs`` with the lines that ``deduplicated_lines`` does not keep taken out of ``text``.
 
     ``n_chars`` is counted anew where the table has it. Documents that lose lines and have none but blank ones
     left are dropped; documents that were null, empty or blank before stay as they are.
     """
-    classes = line_classes(docs, edits)
-    again = _marked(docs, classes).filter("first is not null and first != position")
+    classes = line_classes(docs, edits, short)
+    again = _marked(docs, classes, short).filter("first is not null and first != position")
     gone = again.groupBy("doc_id").agg(
         F.collect_set(F.struct("line_no", F.col("h1"))).alias("_gone")
     ).withColumnRenamed("doc_id", "_id")

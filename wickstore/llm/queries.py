@@ -21,7 +21,7 @@ from wickstore.llm.common import table
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.deduplicated_lines(table(spark, sf_dir, "documents"))
+    return lines.deduplicated_lines(table(spark, sf_dir, "documents"), short=True)
 
 
 def op2_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
