@@ -15,6 +15,9 @@ from wickstore.llm import decontaminate, kneser_ney, lines, minhash, packing
 from wickstore.llm.common import drop_copies, table
 from wickstore.session import delete_path, scratch_path
 
+#: Similarity in per cent from which two documents are near-duplicates; op10 has its own, 85.
+NEAR_PERCENT = 80
+
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose perplexity under the model of trusted text lies inside their language's quantiles."""
@@ -29,9 +32,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates, of similarity 0.8 or more."""
     drop_copies(spark)
-    return minhash.representatives(docs)
+    return minhash.representatives(docs, NEAR_PERCENT)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from tests.llm.helpers import AWKWARD, documents
+from tests.llm.helpers import AWKWARD, documents, shingles
 from wickstore.llm.common import table
 
 
@@ -61,3 +61,17 @@ def test_stages_on_awkward_and_empty_tables(spark, tmp_path):
             stage(spark, docs, folder).write.parquet(out)
             docs = spark.read.parquet(out)
         assert (docs.count() > 0) == (n == 0)
+
+
+def test_near_dedup_takes_pairs_between_80_and_85_percent(spark, tmp_path):
+    rng = random.Random(80)
+    rows = []
+    for n in range(40):
+        words = [f"{rng.choice('abcdefgh')}{rng.randint(0, 10**6)}" for _ in range(rng.randint(98, 120))]
+        other = list(words)
+        other[30], other[60] = "changed", "changed"
+        pair = [shingles(" ".join(w)) for w in (words, other)]
+        assert 0.8 <= len(pair[0] & pair[1]) / len(pair[0] | pair[1]) < 0.85
+        rows += [(n, " ".join(words)), (100 + n, " ".join(other))]
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, documents(spark, rows), str(tmp_path)).collect()}
+    assert kept == set(range(40))
