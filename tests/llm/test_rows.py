@@ -270,6 +270,17 @@ def test_probabilities_sum_to_one(spark):
     assert total == pytest.approx(1)
 
 
+def test_limits_of_a_language_with_few_trusted_documents(spark):
+    rng = random.Random(9)
+    names = ["".join(rng.choice("abcdefg") for _ in range(rng.randint(2, 7))) for _ in range(400)]
+    say = lambda: " ".join(rng.choice(names) for _ in range(40))
+    rows = [(n, say(), "es" if n % 100 == 0 or n >= 400 else "en") for n in range(500)]
+    docs = spark.createDataFrame([*rows, (500, "#$%&*@ " * 60, "es")], "doc_id long, text string, lang string")
+    trusted = spark.createDataFrame([(n,) for n in range(400) if n % 100 == 0 and n < 100 or n % 100], "doc_id long")
+    kept = {r.doc_id for r in kneser_ney.rated(docs, trusted).collect() if r.kept}
+    assert sum(n in kept for n in range(400, 500)) >= 95 and 500 not in kept
+
+
 def test_classifier_of_quality(spark, sf_dir):
     docs = documents(spark, AWKWARD)
     none = spark.createDataFrame([], "doc_id long")

@@ -23,6 +23,8 @@ from wickstore.llm.text import filled, raw, slices
 ORDER = 5
 #: Entries of one shard of the model, 12 bytes each in every worker.
 SHARD_ENTRIES = 2_000_000
+#: Trusted documents of a language at which its own limits count half against the shared ones.
+PRIOR = 300
 #: N-grams that a task holds before it hands its counts on.
 HELD = 2_000_000
 
@@ -208,12 +210,29 @@ def _scored(docs: DataFrame, shard) -> DataFrame:
     return chosen.mapInArrow(run, SCORES)
 
 
+def left_out(docs: DataFrame, trusted: DataFrame, size: int) -> DataFrame:
+    """(lang, perplexity) of the trusted documents, each under a model of the half of them that it is not in."""
+    parts = []
+    for fold in range(2):
+        halves = [trusted.filter(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == side) for side in (fold, 1 - fold)]
+        held, rest = (rows_with(docs.select("doc_id", "text", "lang"), half, "doc_id", size) for half in halves)
+        counts, counts_path = kept_copy(gram_counts(rest), "grams")
+        entries, entries_path = kept_copy(model(counts), "model")
+        rows, _ = kept_copy(scores(held, entries, entries.count()), "held")
+        drop_copy(docs.sparkSession, counts_path)
+        drop_copy(docs.sparkSession, entries_path)
+        parts.append(rows.filter("n_bytes > 0").select("lang", F.exp(-F.col("log_p") / F.col("n_bytes")).alias("perplexity")))
+    return parts[0].union(parts[1])
+
+
 def rated(docs: DataFrame, trusted: DataFrame, low: float = 0.001, high: float = 0.997) -> DataFrame:
     """Per row of ``docs`` (doc_id, text, lang): row, doc_id, lang, n_bytes, perplexity, lowest, highest, kept.
 
     ``trusted`` holds the doc_id of trusted documents. The model is trained on the whole texts of all of them.
-    A document is kept if its perplexity per byte lies between the ``low`` and ``high`` quantiles of the
-    trusted documents of its language; a language without trusted documents takes the quantiles of all. Null
+    A document is kept if its perplexity per byte lies within the limits of its language. They come from the
+    ``low`` and ``high`` quantiles of trusted documents under a model that has not seen them, and hold the quantiles
+    under the whole model too. Those of a language are blended with those of all trusted documents by its count
+    of them, and never narrower than its own; a language without any takes the quantiles of all. Null
     and empty texts have no perplexity and are rejected. Without any trusted text every document with text is
     kept. Rows that repeat an id and text are rated alike; ``row`` is a hash of the text; further columns are
     ignored; an empty table gives an empty result.
@@ -227,13 +246,25 @@ def rated(docs: DataFrame, trusted: DataFrame, low: float = 0.001, high: float =
     drop_copy(docs.sparkSession, counts_path)
     drop_copy(docs.sparkSession, entries_path)
     rows = rows.withColumn("perplexity", F.when(F.col("n_bytes") > 0, F.exp(-F.col("log_p") / F.col("n_bytes"))))
-    known = rows.join(trusted, "doc_id", "left_semi").filter("perplexity is not null")
+    known = rows.join(trusted, "doc_id", "left_semi").filter("perplexity is not null").select("lang", "perplexity")
     bounds = F.percentile_approx("perplexity", [low, high], 100_000)
-    by_lang = known.groupBy(F.col("lang").alias("known_lang")).agg(bounds.alias("own"))
-    overall = known.agg(bounds.alias("all")).first()["all"]
-    shared = F.lit(None) if overall is None else F.array(*[F.lit(v) for v in overall])
-    limits = rows.join(by_lang, rows["lang"].eqNullSafe(F.col("known_lang")), "left").withColumn(
-        "limits", F.coalesce("own", shared.cast("array<double>"))
+    found = []
+    for part in (known, left_out(docs, trusted, trusted.count())):
+        found.append(part.groupBy(F.col("lang").alias("known_lang")).agg(bounds.alias("own"), F.count("*").alias("n")))
+        found.append(part.agg(bounds.alias("all")).first()["all"])
+    wide = [r for r in (found[1], found[3]) if r is not None]
+    shared = [min(r[0] for r in wide), max(r[1] for r in wide)] if wide else [None, None]
+    own = found[0].union(found[2]).groupBy("known_lang").agg(
+        F.min(F.col("own")[0]).alias("least"), F.max(F.col("own")[1]).alias("most"), F.max("n").alias("n")
+    )
+    weight = F.col("n") / (F.col("n") + PRIOR)
+    edges = [F.lit(v).cast("double") for v in shared]
+    blend = [F.exp(weight * F.log(c) + (1 - weight) * F.log(e)) for c, e in zip(("least", "most"), edges)]
+    limits = rows.join(own, rows["lang"].eqNullSafe(F.col("known_lang")), "left").withColumn(
+        "limits",
+        F.when(F.col("n").isNull(), F.array(*edges)).otherwise(
+            F.array(F.least("least", blend[0]), F.greatest("most", blend[1]))
+        ),
     )
     inside = F.col("perplexity").between(F.col("limits")[0], F.col("limits")[1])
     return limits.select(
