@@ -17,14 +17,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def kept_copy(df: DataFrame, label: str) -> tuple[DataFrame, str]:
-    """``df`` written once to the shared folder and read back, with its path.
+def kept_copy(df: DataFrame, label: str, **options: str) -> tuple[DataFrame, str]:
+    """``df`` written once to the shared folder and read back, with its path; ``options`` go to the writer.
 
     A lost executor then costs no recomputation. The copy stays until ``drop_copy`` or ``drop_copies``.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     _copies.append(path)
     return spark.read.schema(df.schema).parquet(path), path
 
