@@ -1,9 +1,9 @@
 """Filter interaction audit over a sparse document-term matrix.
 
-Blocks of documents are read once: their words become codes into the block's own dictionary, their counts a
-compressed sparse row (CSR) shard. One shuffle by word brings the dictionaries together and gives each distinct
-word of the corpus one id; a second one takes the ids back to their blocks, where they replace the codes. Row sums
-of the shards are the word counts, their stored entries per row the distinct words.
+Blocks of documents are read once: their words become codes into a dictionary that some blocks of one task share,
+their counts a compressed sparse row (CSR) shard. One shuffle by word brings the dictionaries together and gives
+each distinct word of the corpus one id; a second one takes the ids back to the blocks, where they replace the
+codes. Row sums of the shards are the word counts, their stored entries per row the distinct words.
 
 Documents are then counted by part and by the set of filters that they fail, at most 32 sets a part. Everything
 that is asked about an order of the filters follows from those counts.
@@ -19,6 +19,7 @@ from math import factorial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,10 +31,25 @@ FILTERS = "ABCDE"
 BIT = {name: 1 << n for n, name in enumerate(FILTERS)}
 SETS = range(1 << len(FILTERS))
 MARKS = np.isin(np.arange(256), np.frombuffer(b"#$%&*|", np.uint8))
+#: Text of the blocks that share a dictionary; a block has up to 8 MB, or one longer document.
+DICTIONARY_BYTES = 32 << 20
 
-_ROWS = "shard long, doc_id array<long>, part array<string>, digest array<binary>, marks array<int>"
-_MATRIX = f"{_ROWS}, starts array<int>, columns array<long>, counts array<int>"
-_BLOCKS = f"{_ROWS}, starts array<int>, codes array<int>, counts array<int>, words array<string>"
+_ROWS = "dictionary long, doc_id array<long>, part array<string>, digest array<binary>, marks array<int>"
+_MATRIX = f"{_ROWS}, starts binary, counts binary, columns binary"
+_BLOCKS = f"{_ROWS}, starts binary, counts binary, codes binary, words array<string>"
+#: How the numbers of a CSR shard lie in its buffers.
+STARTS, COUNTS, CODES, COLUMNS = "<i8", "<i4", "<i4", "<i8"
+
+
+BLOCK_TYPES = [
+    pa.int64(),
+    pa.list_(pa.int64()),
+    pa.list_(pa.string()),
+    pa.list_(pa.binary()),
+    pa.list_(pa.int32()),
+    *[pa.binary()] * 3,
+    pa.list_(pa.string()),
+]
 
 
 def _sparse(codes: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -50,17 +66,33 @@ def _lists(*values) -> list[pa.Array]:
 
 
 def blocks(docs: DataFrame) -> DataFrame:
-    """One row for each block of documents: its rows, its CSR shard by local code, and its dictionary."""
+    """A row for each block of documents with its CSR shard by code, and one for each dictionary with its ``words``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = TaskContext.get().partitionId() << 32
+        number = TaskContext.get().partitionId() << 32
+        known, held = pa.array([], pa.string()), 0
+        names = _names(_BLOCKS)
+
+        def named() -> pa.RecordBatch:
+            empty = [pa.nulls(1, kind) for kind in BLOCK_TYPES[1:-1]]
+            return pa.record_batch([pa.array([number], pa.int64()), *empty, *_lists(known)], names=names)
+
         for batch in batches:
             for part in slices(batch):
                 texts = filled(part.column("text"))
                 data, offsets = raw(texts)
                 view = data.tobytes()
+                if held and held + len(data) > DICTIONARY_BYTES:
+                    yield named()
+                    number, known, held = number + 1, known[:0], 0
+                held += len(data)
                 found = words(texts)
-                starts, codes, counts = _sparse(found.codes.astype(np.int64), found.starts, len(found.vocabulary))
+                at = pc.index_in(found.vocabulary, value_set=known)
+                new = found.vocabulary.filter(pc.is_null(at))
+                code = pc.fill_null(at, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+                code[code < 0] = len(known) + np.arange(len(new))
+                known = pa.concat_arrays([known, new])
+                starts, codes, counts = _sparse(code[found.codes], found.starts, len(known))
 
                 def sums(flags: np.ndarray) -> np.ndarray:
                     before = np.concatenate([[0], np.cumsum(flags)])
@@ -72,69 +104,74 @@ def blocks(docs: DataFrame) -> DataFrame:
                 digests = [hashlib.sha256(view[a:b]).digest() for a, b in zip(offsets[:-1], offsets[1:])]
                 yield pa.record_batch(
                     [
-                        pa.array([shard], pa.int64()),
+                        pa.array([number], pa.int64()),
                         *_lists(
                             part.column("doc_id").cast(pa.int64()),
                             filled(part.column("source")),
                             pa.array(digests, pa.binary()),
                             pa.array(marks.astype(np.int32)),
-                            pa.array(starts.astype(np.int32)),
-                            pa.array(codes.astype(np.int32)),
-                            pa.array(counts.astype(np.int32)),
-                            found.vocabulary,
                         ),
+                        *[
+                            pa.array([values.astype(kind).tobytes()], pa.binary())
+                            for values, kind in ((starts, STARTS), (counts, COUNTS), (codes, CODES))
+                        ],
+                        pa.nulls(1, BLOCK_TYPES[-1]),
                     ],
-                    names=["shard", "doc_id", "part", "digest", "marks", "starts", "codes", "counts", "words"],
+                    names=names,
                 )
-                shard += 1
+        if held:
+            yield named()
 
     rows = docs.select("doc_id", "text", F.col("source").cast("string").alias("source"))
     return rows.mapInArrow(run, _BLOCKS)
 
 
 def word_ids(local: DataFrame) -> DataFrame:
-    """(word, id, shard, code): each word's id in the whole corpus, beside its code in each block that has it.
+    """(dictionary, code, id): each word's id in the whole corpus beside its code in each dictionary that has it.
 
     Words are dealt by hash into one range per shuffle partition and numbered inside it; ids of the ranges
-    interleave, so they are unique and close to gapless. A word is in a block once, however often it occurs.
+    interleave, so they are unique and close to gapless. A word is in a dictionary once, however often it occurs.
     """
     ranges = int(local.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = local.select("shard", F.posexplode("words").alias("code", "word"))
+    pairs = local.select("dictionary", F.posexplode("words").alias("code", "word"))
     dealt = pairs.withColumn("range", F.pmod(F.xxhash64("word"), F.lit(ranges)))
     number = F.dense_rank().over(Window.partitionBy("range").orderBy("word")).cast("long") - 1
-    return dealt.select("word", (number * ranges + F.col("range")).alias("id"), "shard", "code")
+    return dealt.select("dictionary", "code", (number * ranges + F.col("range")).alias("id"))
+
+
+def vocabulary(local: DataFrame, ids: DataFrame) -> DataFrame:
+    """(word, id) of each distinct word."""
+    named = local.select("dictionary", F.posexplode("words").alias("code", "word"))
+    return named.join(ids, ["dictionary", "code"]).select("word", "id").distinct()
 
 
-def term_matrix(docs: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
-    """(CSR shards, dictionary) of the words of all texts, and the folders that both are read from.
+def sparse_shards(local: DataFrame, ids: DataFrame) -> DataFrame:
+    """The CSR shards by word id: ids go back to their blocks and take the place of the codes.
 
-    A shard row has ``doc_id``, ``part`` (the source), ``digest`` (of the text) and ``marks`` (filters C and D
-    that a text fails) for its documents, ``starts`` of the rows and one more, ``columns`` (ascending word ids) and
-    ``counts``. The dictionary has ``word`` and ``id``, a row for each block that the word is in.
+    A row has ``doc_id``, ``part`` (the source), ``digest`` (of the text) and ``marks`` (filters C and D that a text
+    fails) of its documents, and as little-endian buffers the ``starts`` of their rows and one more, ``counts``
+    and ``columns`` (word ids, ascending in a row).
     """
-    local, path = kept_copy(blocks(docs), "blocks", compression="zstd")
-    ids, ids_path = kept_copy(word_ids(local), "words", compression="zstd")
 
-    def encode(block: pa.Table, own: pa.Table) -> pa.Table:
-        row = block.slice(0, 1).combine_chunks()
+    def encode(given: pa.Table, own: pa.Table) -> pa.Table:
         ids = np.zeros(own.num_rows, np.int64)
         ids[own.column("code").to_numpy()] = own.column("id").to_numpy()
-
-        def flat(name: str) -> np.ndarray:
-            return row.column(name).chunk(0).flatten().to_numpy()
-
-        starts, codes, counts = flat("starts"), flat("codes"), flat("counts")
-        columns = ids[codes]
-        order = np.lexsort((columns, np.repeat(np.arange(len(starts) - 1), np.diff(starts))))
-        encoded = _lists(pa.array(columns[order]), pa.array(counts[order]))
-        kept = [row.column(n) for n in ("shard", "doc_id", "part", "digest", "marks", "starts")]
-        return pa.table([*kept, *encoded], names=[*_names(_MATRIX)])
-
-    given = local.drop("words").groupBy("shard")
-    coded = given.cogroup(ids.select("shard", "code", "id").groupBy("shard")).applyInArrow(encode, _MATRIX)
-    matrix, matrix_path = kept_copy(coded, "matrix", compression="zstd")
-    drop_copy(docs.sparkSession, path)
-    return matrix, ids.select("word", "id"), [matrix_path, ids_path]
+        sorted_counts, columns = [], []
+        for n in range(given.num_rows):
+            starts, counts, codes = (
+                np.frombuffer(given.column(name)[n].as_buffer(), kind)
+                for name, kind in (("starts", STARTS), ("counts", COUNTS), ("codes", CODES))
+            )
+            found = ids[codes]
+            order = np.lexsort((found, np.repeat(np.arange(len(starts) - 1), np.diff(starts))))
+            sorted_counts.append(counts[order].tobytes())
+            columns.append(found[order].tobytes())
+        kept = [given.column(name) for name in _names(_MATRIX)[:-2]]
+        buffers = [pa.array(values, pa.binary()) for values in (sorted_counts, columns)]
+        return pa.table([*kept, *buffers], names=_names(_MATRIX))
+
+    given = local.filter("words is null").drop("words").groupBy("dictionary")
+    return given.cogroup(ids.groupBy("dictionary")).applyInArrow(encode, _MATRIX)
 
 
 def _names(schema: str) -> list[str]:
@@ -147,14 +184,15 @@ def document_flags(matrix: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for n in range(batch.num_rows):
-                row = {name: batch.column(name).slice(n, 1).flatten() for name in batch.schema.names}
-                starts = row["starts"].to_numpy()
-                before = np.concatenate([[0], np.cumsum(row["counts"].to_numpy(), dtype=np.int64)])
+                lists = [batch.column(name).slice(n, 1).flatten() for name in ("doc_id", "part", "digest", "marks")]
+                starts = np.frombuffer(batch.column("starts")[n].as_buffer(), STARTS)
+                counts = np.frombuffer(batch.column("counts")[n].as_buffer(), COUNTS)
+                before = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
                 total = before[starts[1:]] - before[starts[:-1]]
-                distinct = np.diff(starts.astype(np.int64))
-                mask = row["marks"].to_numpy() + BIT["A"] * (total < 50) + BIT["B"] * (100 * distinct < 65 * total)
+                distinct = np.diff(starts)
+                mask = lists[3].to_numpy() + BIT["A"] * (total < 50) + BIT["B"] * (100 * distinct < 65 * total)
                 yield pa.record_batch(
-                    [row["doc_id"], row["part"], row["digest"], pa.array(mask.astype(np.int32))],
+                    [*lists[:3], pa.array(mask.astype(np.int32))],
                     names=["doc_id", "part", "digest", "mask"],
                 )
 
@@ -258,10 +296,14 @@ def audited(docs: DataFrame, labels: DataFrame) -> DataFrame:
     A null text is empty. Rows without an id count, have no label and never fail E; of rows with the same id none
     is smaller. Further columns are ignored; an empty table has no parts and gives no row.
     """
-    matrix, _, paths = term_matrix(docs)
+    spark = docs.sparkSession
+    local, local_path = kept_copy(blocks(docs), "blocks", compression="zstd")
+    ids, ids_path = kept_copy(word_ids(local), "words", compression="zstd")
+    matrix, matrix_path = kept_copy(sparse_shards(local, ids), "matrix", compression="zstd")
+    drop_copy(spark, local_path)
+    drop_copy(spark, ids_path)
     flags, _ = kept_copy(document_flags(matrix), "flags")
-    for path in paths:
-        drop_copy(docs.sparkSession, path)
+    drop_copy(spark, matrix_path)
     sets, _ = kept_copy(failure_sets(flags, labels), "sets")
     parts = sets.groupBy("part").agg(
         _survivors("n").alias("alive"),
