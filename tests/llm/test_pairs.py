@@ -68,6 +68,18 @@ def test_variants_connect_through_their_original_only(spark, monkeypatch, neares
     assert [r.doc_id for r in got if r.kept] == [1]
 
 
+def test_classes_without_an_id_are_linked(spark):
+    """Near copies of which one has no id: the class of the other joins them, whatever its rows are called."""
+    base = [f"w{n}" for n in range(200)]
+    near, other = " ".join([*base[:150], "x", *base[151:]]), " ".join(f"z{n}" for n in range(50))
+    rows = [(5, " ".join(base)), (None, near), (None, near), (None, other), (None, None), (9, " ".join([*base[:20], "y", *base[21:]]))]
+    got = minhash.near_duplicates(documents(spark, rows)).collect()
+    assert sorted((r.doc_id is None, r.n_shingles, r.component_id) for r in got if r.n_shingles == 196) == [
+        (False, 196, 5), (False, 196, 5), (True, 196, 5), (True, 196, 5),
+    ]
+    assert [r.component_id for r in got if r.n_shingles != 196] == [None, None]
+
+
 def test_shared_counts():
     import numpy as np
 

@@ -256,6 +256,9 @@ def _full_sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> tuple[D
     ids, path = kept_copy(classes.join(nodes, "set").select(F.col("first").alias("doc_id")), "ids")
     spark = docs.sparkSession
     texts = rows_with(docs.select("doc_id", "text"), ids.distinct(), "doc_id", ids.count())
+    if not ids.filter("doc_id is null").isEmpty():
+        # A class of rows without an id is found by its text alone.
+        texts = texts.unionByName(docs.select("doc_id", "text").filter("doc_id is null"))
     members, members_path = kept_copy(
         _sets(texts).join(nodes, "set", "left_semi").dropDuplicates(["set"]), "sets"
     )
