@@ -72,15 +72,13 @@ def materialised(df: DataFrame, spark: SparkSession | None = None) -> Iterator[D
         delete_path(spark, path)
 
 
-def hadoop_path(spark: SparkSession, name: str, encoded: bool = False):
-    """A Hadoop path; ``encoded`` for names as ``_metadata.file_path`` reports them."""
-    text = spark._jvm.java.net.URI(name) if encoded else name
-    return spark._jvm.org.apache.hadoop.fs.Path(text)
+def hadoop_path(spark: SparkSession, name: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(name)
 
 
-def delete_path(spark: SparkSession, name: str, encoded: bool = False) -> bool:
+def delete_path(spark: SparkSession, name: str) -> bool:
     """Remove a file or folder through the Hadoop file system; False if it was not there."""
-    path = hadoop_path(spark, name, encoded)
+    path = hadoop_path(spark, name)
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
@@ -89,6 +87,14 @@ def path_exists(spark: SparkSession, name: str) -> bool:
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
 
+def move_path(spark: SparkSession, source: str, target: str) -> bool:
+    """Rename a file into the folder of ``target``; False if it could not be."""
+    path, to = hadoop_path(spark, source), hadoop_path(spark, target)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(to.getParent())
+    return system.rename(path, to)
+
+
 def file_count(spark: SparkSession, name: str) -> int:
     """Files below a small folder; 0 when it is not there."""
     if not path_exists(spark, name):

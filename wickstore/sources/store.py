@@ -2,7 +2,8 @@
 
 Layout: ``root/data_type=../exchange=../coin=../interval=../year=../month=../day=../*.parquet``.
 Column types live in the small append-only text folder ``root/_schema`` (Spark skips names that
-start with an underscore), so reads never merge the footers of all files.
+start with an underscore), so reads never merge the footers of all files. ``root/_ledger`` keeps the row
+counts and bounds of data files, ``root/_compacting`` the files of a compaction that has not ended.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import time
 from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
     DoubleType,
@@ -32,7 +33,9 @@ from pyspark.sql.types import (
 
 from wickstore.functions.epoch import date_parts, ms_to_timestamp, timestamp_to_ms, to_ms
 from wickstore.functions.keys import normalise
+from wickstore.operators import paging
 from wickstore.operators.filters import Condition, conditions_to_column
+from wickstore.operators.paging import Paging
 from wickstore.operators.reduce import top_row
 from wickstore.schema import (
     DATE_FIELDS,
@@ -53,6 +56,7 @@ from wickstore.session import (
     path_exists,
     session_setting,
 )
+from wickstore.sources.ledger import Ledger, escaped
 
 logger = logging.getLogger(__name__)
 
@@ -78,11 +82,13 @@ class CandleStore:
         self.layout = layout
         self.record = record_type(data_type)
         self._known_fields: tuple[int, list[StructField]] = (0, self._base_fields())
+        dates = [DATE_FIELDS[name] for name in layout.columns]
+        self.ledger = Ledger(spark, self.root, [*KEY_FIELDS, *dates])
 
     # ------------------------------------------------------------------ schema
 
     @property
-    def _partition_columns(self) -> list[str]:
+    def partition_columns(self) -> list[str]:
         return [*KEY, *self.layout.columns]
 
     def _base_fields(self) -> list[StructField]:
@@ -125,7 +131,7 @@ class CandleStore:
         columns, new = [], []
         for field in df.schema.fields:
             name = field.name
-            if name in self._partition_columns:
+            if name in self.partition_columns:
                 columns.append(F.col(name))
             elif name in stored:
                 columns.append(_exact_cast(field, stored[name]).alias(name))
@@ -135,6 +141,16 @@ class CandleStore:
                 columns.append(F.col(name).cast(kind).alias(name))
         return df.select(*columns), new
 
+    def misfit(self, df: DataFrame) -> Column:
+        """Why a row of ``df`` has no place in the stored columns, or null: a fraction for whole numbers."""
+        stored = {field.name: field.dataType for field in self._stored_fields()}
+        bad = [
+            F.when(F.col(field.name) != F.floor(field.name), F.lit(f"type: {field.name}"))
+            for field in df.schema.fields
+            if isinstance(stored.get(field.name), IntegralType) and isinstance(field.dataType, (DoubleType, FloatType))
+        ]
+        return F.coalesce(*bad, F.lit(None).cast("string"))
+
     # ------------------------------------------------------------------- write
 
     def _prepare(self, df: DataFrame, ingest_id: int) -> DataFrame:
@@ -196,28 +212,32 @@ class CandleStore:
             self._save(rows, "append")
 
     def _save(self, rows: DataFrame, mode: str, **options: str) -> None:
+        self.write_files(rows, self.root, mode, **options)
+
+    def write_files(self, rows: DataFrame, folder: str, mode: str, **options: str) -> None:
+        """Write rows in the store's layout: few files a partition, in time order."""
         # Rebalancing sends a partition to one task and splits hot partitions. Joining small
         # partitions is off: it would leave thousands of folders to one task. Time order inside
         # a file makes row-group statistics useful.
-        columns = self._partition_columns
+        columns = self.partition_columns
         laid_out = rows.hint("rebalance", *columns).sortWithinPartitions(*columns, TS)
         with session_setting(rows, "spark.sql.adaptive.coalescePartitions.enabled", "false"):
-            laid_out.write.partitionBy(*columns).mode(mode).options(**options).parquet(self.root)
+            laid_out.write.partitionBy(*columns).mode(mode).options(**options).parquet(folder)
 
     def _replace_series(self, rows: DataFrame) -> None:
         """Overwrite the partitions in ``rows``, then drop older ones of the same series.
 
         Running it again after a failure ends in the same state.
         """
-        columns = self._partition_columns
+        columns = self.partition_columns
         with materialised(rows.select(*columns).distinct()) as written:
             self._save(rows, "overwrite", partitionOverwriteMode="dynamic")
             if not self.layout.columns:
                 return
             series = written.select(*KEY).distinct()
             stale = (
-                self._scan_listed(self._listed(series))
-                .select(*columns, _directory().alias("directory"))
+                self.ledger.files(self._paths_of(self._listed(series)))
+                .select(*columns, _folder().alias("directory"))
                 .distinct()
                 .join(series, list(KEY), "left_semi")
                 .join(written, columns, "left_anti")
@@ -243,20 +263,39 @@ class CandleStore:
         return joined.filter(F.col("_held").isNull() | ~_all(same)).select(*rows.columns)
 
     def _scan_near(self, rows: DataFrame) -> DataFrame | None:
-        """Every stored row ``rows`` could meet, by constant bounds; None for no rows."""
+        """The stored rows of the partitions that ``rows`` touch; None for no rows.
+
+        The partitions are a small table that the scan is joined with, so Spark prunes at run time to
+        exactly these; the constant bounds serve when they are too many to be broadcast.
+        """
         ms = timestamp_to_ms(F.col(TS))
         bounds = [F.min(ms).alias("lo"), F.max(ms).alias("hi")]
-        listed = rows.groupBy(*KEY).agg(*bounds).limit(MAX_LISTED + 1).collect()
+        columns = self.partition_columns
+        touched = cut_lineage(rows.groupBy(*columns).agg(*bounds))
+        listed = self._listed(touched)
         if not listed:
             return None
-        spans = listed if len(listed) <= MAX_LISTED else [rows.agg(*bounds).first()]
-        lo = _as_datetime(min(row.lo for row in spans))
-        hi = _as_datetime(max(row.hi for row in spans))
-        return self._scan_listed(listed).filter(_instants(lo, hi) & self._dates_between(lo, hi))
+        span = touched.agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).first()
+        lo, hi = _as_datetime(span.lo), _as_datetime(span.hi)
+        near = self._scan_listed(listed).filter(_instants(lo, hi) & self._dates_between(lo, hi))
+        return self._within(near, touched)
+
+    def _within(self, df: DataFrame, partitions: DataFrame, *further: str) -> DataFrame:
+        """The rows of ``df``, a scan, in the given partitions, with ``further`` columns of theirs.
+
+        The join is on one key made of all partition columns: pruning by each column alone would keep
+        every combination of their values.
+        """
+        columns = self.partition_columns
+        named = partitions.select(F.to_json(F.struct(*columns)).alias("_part"), *further)
+        # Pruning at run time needs a side that has been filtered.
+        named = named.filter(F.length("_part") > 0)
+        rows = df.withColumn("_part", F.to_json(F.struct(*columns)))
+        return rows.join(named, "_part", "inner" if further else "left_semi").drop("_part")
 
     # -------------------------------------------------------------------- read
 
-    def _scan(self, *paths: str) -> DataFrame:
+    def scan(self, *paths: str) -> DataFrame:
         """The stored rows under ``paths`` (default: all) as written; absent paths hold no rows."""
         schema = self.schema()
         try:
@@ -280,22 +319,36 @@ class CandleStore:
         A few series are listed folder by folder, so planning does not walk the whole table.
         """
         if len(listed) > MAX_LISTED:
-            return self._scan()
+            return self.scan()
         wanted = _all(F.col(name).isin(sorted({row[name] for row in listed})) for name in KEY)
+        paths = self._paths_of(listed)
+        return self.scan(*paths).filter(wanted)
+
+    def _paths_of(self, listed: Sequence[Row]) -> list[str]:
+        """Folders that hold all files of the listed series, few enough to be listed one by one, else none."""
         paths = {self._series_path({name: row[name] for name in KEY}) for row in listed}
-        if len(paths) > MAX_FOLDERS:
-            return self._scan().filter(wanted)
+        if len(listed) > MAX_LISTED or len(paths) > MAX_FOLDERS:
+            return []
         found = [path for path in sorted(paths) if path_exists(self.spark, path)]
         if not found:
-            return self._no_rows(self.schema())
+            return sorted(paths)[:1]
         # A key that cannot be spelled as a folder stands for its parent, which may hold others.
-        outer = [path for path in found if not any(path.startswith(f"{up}/") for up in found)]
-        return self._scan(*outer).filter(wanted)
+        return [path for path in found if not any(path.startswith(f"{up}/") for up in found)]
+
+    def key_filter(self, key: SeriesKey | None) -> Column:
+        return _all(F.col(name) == value for name, value in (key.given() if key else {}).items())
+
+    def folder(self, key: SeriesKey | None) -> str:
+        return self._series_path(key.given() if key else {})
+
+    def _files(self, key: SeriesKey | None) -> DataFrame:
+        return self.ledger.files([self.folder(key)]).filter(self.key_filter(key))
+
+    def _counts(self, key: SeriesKey | None) -> DataFrame:
+        return self.ledger.counts([self.folder(key)]).filter(self.key_filter(key))
 
     def _scan_series(self, key: SeriesKey | None) -> DataFrame:
-        given = key.given() if key else {}
-        df = self._scan(self._series_path(given))
-        return df.filter(_all(F.col(name) == value for name, value in given.items()))
+        return self.scan(self.folder(key)).filter(self.key_filter(key))
 
     def _series_path(self, given: Mapping[str, str]) -> str:
         """The deepest folder that holds every series with the given key parts.
@@ -314,6 +367,10 @@ class CandleStore:
         """First day a partition covers."""
         return F.make_date("year", "month", "day" if "day" in self.layout.columns else F.lit(1))
 
+    def starts_before(self, end: dt.datetime) -> Column:
+        """Whether a partition begins before the day of ``end``; without dates every one does."""
+        return self._date() < F.lit(end.date()) if self.layout.columns else F.lit(True)
+
     def _dates_between(self, lo: dt.datetime | None, hi: dt.datetime | None) -> Column:
         """The time range restated on the date columns, so whole partitions are skipped."""
         terms = []
@@ -369,41 +426,111 @@ class CandleStore:
     def _listed(series: DataFrame) -> list[Row]:
         return series.select(*KEY).distinct().limit(MAX_LISTED + 1).collect()
 
-    def _newest_dates(self, df: DataFrame) -> DataFrame:
-        """The rows of ``df`` on the last date of their series.
+    def latest(self, key: SeriesKey | None = None) -> DataFrame:
+        """The newest row of every matching series over its full history.
 
-        The last dates come from partition columns alone; only those dates are then read.
+        The ledger names the file that holds it, so one file of each series is opened, or several that hold
+        equally new rows; of very many series, the partitions of those files.
         """
-        if not self.layout.columns:
-            return df
-        columns = df.columns
-        last = cut_lineage(df.groupBy(*KEY).agg(F.max(self._date()).alias("_date")))
-        dates = last.select("_date").distinct().limit(MAX_LISTED + 1).collect()
-        listed = sorted(row["_date"] for row in dates)
-        if len(listed) > MAX_LISTED:
-            df = df.filter(self._date() >= F.lit(last.agg(F.min("_date")).first()[0]))
-        elif listed:
-            df = df.filter(self._date().isin(listed))
-        df = df.withColumn("_date", self._date()).join(last, [*KEY, "_date"], "left_semi")
-        return df.select(*columns)
-
-    def latest(self, key: SeriesKey | None = None) -> DataFrame:
-        """The newest row of every matching series over its full history."""
-        df = self._newest_dates(self._scan_series(key))
+        group = Window.partitionBy(*KEY)
+        newest = F.struct("last_at", "last_ingest")
+        tops = self._counts(key).withColumn("_top", F.max(newest).over(group)).filter(newest == F.col("_top"))
+        tops = cut_lineage(tops.select(*self.partition_columns, "path"))
+        named = [row.path for row in tops.select("path").limit(MAX_LISTED + 1).collect()]
+        if not named:
+            df = self._no_rows(self.schema())
+        elif len(named) <= MAX_LISTED:
+            df = self.scan(*map(escaped, named))
+        else:
+            df = self._within(self._scan_series(key), tops.select(*self.partition_columns).distinct())
         rows = _with_ms(df, [*self._visible(df), INGEST])
         return top_row(rows, KEY, [TS, INGEST]).drop(INGEST)
 
     def last_timestamps(self, series: DataFrame | None = None) -> DataFrame:
-        """``latest_ts`` of every stored series, or of those in ``series``."""
-        df = self._scan() if series is None else self._scan_listed(self._listed(series))
-        newest = self._newest_dates(df).groupBy(*KEY).agg(F.max(TS).alias("_last"))
+        """``latest_ts`` of every stored series, or of those in ``series``; from the ledger alone."""
+        if series is None:
+            counts = self.ledger.counts()
+        else:
+            listed = self._listed(series)
+            counts = self.ledger.counts(self._paths_of(listed) if listed else [])
+            counts = counts.join(series.select(*KEY).distinct(), list(KEY), "left_semi")
+        newest = counts.groupBy(*KEY).agg(F.max("last_at").alias("_last"))
         return newest.select(*KEY, timestamp_to_ms(F.col("_last")).alias("latest_ts"))
 
+    # ------------------------------------------------------------------- pages
+
+    def _bucket(self, ts: Column) -> Column:
+        """The partition a time in milliseconds belongs to within its series, as a number that sorts by time."""
+        parts = date_parts(ts)
+        number = F.lit(0).cast("bigint")
+        for name in self.layout.columns:
+            number = number * 100 + parts[name]
+        return number
+
+    def _stored_bucket(self) -> Column:
+        number = F.lit(0).cast("bigint")
+        for name in self.layout.columns:
+            number = number * 100 + F.col(name)
+        return number
+
+    def page(self, paging_: Paging, key: SeriesKey | None = None) -> DataFrame:
+        """A page of every matching series by position in time order, copies and revisions included.
+
+        The rows before a partition are summed from the stored counts, so only partitions that the page
+        overlaps are opened, whatever its offset is.
+        """
+        if not paging_.has_pagination():
+            return self.read_range(key)
+        columns = self.partition_columns
+        sizes = self._counts(key).groupBy(*columns).agg(
+            F.sum("n_rows").alias("_size"),
+            ((F.count(F.lit(1)) > 1) | (F.sum("n_times") < F.sum("n_rows"))).alias("_repeats"),
+        )
+        starts = paging.with_base(sizes.withColumn("_bucket", self._stored_bucket()), KEY)
+        starts = cut_lineage(starts.filter(paging.overlaps(F.col("_base"), F.col("_size"), paging_)))
+        df = self._within(self._scan_series(key), starts)
+        rows = _with_ms(df, self._visible(df))
+        return paging.page(rows, paging_, bucket=self._bucket, starts=starts.drop(*self.layout.columns))
+
+    def snapshot(self, key: SeriesKey | None = None) -> int:
+        """The newest ingest id stored, to which a walk is bound; -1 in an empty store."""
+        newest = self._counts(key).agg(F.max("high_ingest")).first()[0]
+        return -1 if newest is None else newest
+
+    def next_page(
+        self, size: int, snapshot: int, after: DataFrame | None = None, key: SeriesKey | None = None
+    ) -> tuple[DataFrame, DataFrame]:
+        """The next ``size`` rows of every matching series behind the cursor ``after``, and the new cursor.
+
+        Only rows up to ``snapshot`` count, so rows that arrive during a walk neither shift its pages nor
+        enter them; each row of the snapshot comes once. From the stored counts only as many partitions
+        behind the cursor are opened as surely hold ``size`` rows.
+        """
+        columns = self.partition_columns
+        sure = F.when(F.col("high_ingest") <= snapshot, F.col("n_rows")).otherwise(0)
+        sizes = (
+            self._counts(key)
+            .filter(F.col("low_ingest") <= snapshot)
+            .groupBy(*columns)
+            .agg(F.sum(sure).alias("_size"))
+            .withColumn("_bucket", self._stored_bucket())
+        )
+        if after is not None:
+            begun = after.select(*KEY, self._bucket(F.col("_at")).alias("_from"))
+            sizes = sizes.join(begun, list(KEY), "left").filter("_from is null or _bucket >= _from")
+            # Rows of the cursor's own partition may all lie before it.
+            sizes = sizes.withColumn("_size", F.when(F.col("_bucket") == F.col("_from"), 0).otherwise(F.col("_size")))
+        opened = cut_lineage(paging.with_base(sizes, KEY).filter(F.col("_base") < size).select(*columns))
+        df = self._within(self._scan_series(key), opened).filter(F.col(INGEST) <= snapshot)
+        rows = _with_ms(df, [*self._visible(df), INGEST])
+        page, cursor = paging.seek(rows, size, after, bucket=self._bucket)
+        return page.drop(INGEST), cursor
+
     # ----------------------------------------------------------------- catalog
 
     def series(self, key: SeriesKey | None = None) -> DataFrame:
-        """The stored series keys; reads partition columns only."""
-        return self._scan_series(key).select(*KEY).distinct()
+        """The stored series keys, from the names of the files."""
+        return self._files(key).select(*KEY).distinct()
 
     def list_coins(self, exchange: str, data_type: str = "ohlcv") -> DataFrame:
         key = SeriesKey(data_type=data_type, exchange=exchange)
@@ -411,7 +538,7 @@ class CandleStore:
 
     def exists(self, key: SeriesKey) -> bool:
         """Whether any row of the series is stored; ``interval=None`` means any interval."""
-        return not self._scan_series(key).select(*KEY).isEmpty()
+        return not self._files(key).isEmpty()
 
     def which_exist(self, requested: DataFrame) -> DataFrame:
         """``requested`` keys with a boolean ``is_stored``, for many series at once."""
@@ -422,27 +549,31 @@ class CandleStore:
         )
 
     def inventory(self, key: SeriesKey | None = None) -> DataFrame:
-        """Rows, time range and number of files per series."""
-        per_file = (
-            self._scan_series(key)
-            .groupBy(*KEY, F.col("_metadata.file_path").alias("file"))
-            .agg(F.count(F.lit(1)).alias("n"), F.min(TS).alias("lo"), F.max(TS).alias("hi"))
-        )
-        return per_file.groupBy(*KEY).agg(
-            F.sum("n").alias("n_rows"),
-            timestamp_to_ms(F.min("lo")).alias("first_ts"),
-            timestamp_to_ms(F.max("hi")).alias("last_ts"),
-            F.count(F.lit(1)).alias("n_files"),
+        """Rows, time range and number of files per series; from the ledger alone."""
+        return (
+            self._counts(key)
+            .groupBy(*KEY)
+            .agg(
+                F.sum("n_rows").alias("n_rows"),
+                timestamp_to_ms(F.min("first_at")).alias("first_ts"),
+                timestamp_to_ms(F.max("last_at")).alias("last_ts"),
+                F.count(F.lit(1)).alias("n_files"),
+            )
         )
 
+    def file_counts(self, key: SeriesKey | None = None) -> DataFrame:
+        """Files and bytes per partition, from the names of the files."""
+        sizes = [F.count(F.lit(1)).alias("n_files"), F.sum("length").alias("n_bytes")]
+        return self._files(key).groupBy(*self.partition_columns).agg(*sizes)
+
     # -------------------------------------------------------------------- drop
 
     def drop_series(self, keys: DataFrame) -> int:
         """Delete the folders of the given series; series that are not stored are skipped."""
         wanted = keys.select(*[normalise(name, F.col(name)).alias(name) for name in KEY])
         folders = (
-            self._scan_listed(self._listed(wanted))
-            .select(*KEY, _directory(len(self.layout.columns)).alias("directory"))
+            self.ledger.files(self._paths_of(self._listed(wanted)))
+            .select(*KEY, _folder(len(self.layout.columns)).alias("directory"))
             .distinct()
             .join(wanted, list(KEY), "left_semi")
             .select("directory")
@@ -454,7 +585,7 @@ class CandleStore:
 
     def _delete(self, directories: DataFrame) -> int:
         return sum(
-            delete_path(self.spark, row.directory, encoded=True) for row in directories.toLocalIterator()
+            delete_path(self.spark, row.directory) for row in directories.toLocalIterator()
         )
 
 
@@ -486,9 +617,9 @@ def _with_ms(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def _directory(levels_up: int = 0) -> Column:
-    """Folder of the file a row came from, or an ancestor of it."""
-    return F.regexp_replace(F.col("_metadata.file_path"), f"(/[^/]+){{{levels_up + 1}}}$", "")
+def _folder(levels_up: int = 0) -> Column:
+    """Folder of a listed file, or an ancestor of it."""
+    return F.regexp_replace("path", f"(/[^/]+){{{levels_up + 1}}}$", "")
 
 
 def _instants(lo: dt.datetime | None, hi: dt.datetime | None) -> Column:
