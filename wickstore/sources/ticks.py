@@ -47,18 +47,24 @@ def partial_candles(
     )
 
 
-def merged_candles(partials: DataFrame, interval: str, keys: Sequence[str]) -> DataFrame:
-    """Candles of several sets of partial candles."""
+def combined_partials(partials: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One partial candle per series and time from several sets of them."""
+    return partials.groupBy(*keys, TS).agg(
+        F.min("_first").alias("_first"),
+        F.max("_last").alias("_last"),
+        F.min_by("open", "_first").alias("open"),
+        F.max("high").alias("high"),
+        F.min("low").alias("low"),
+        F.max_by("close", "_last").alias("close"),
+        F.sum("volume").cast("decimal(38,18)").alias("volume"),
+    )
+
+
+def finished_candles(partials: DataFrame, interval: str) -> DataFrame:
+    """Candles of partial candles of which there is one per series and time."""
     return (
-        partials.groupBy(*keys, TS)
-        .agg(
-            F.min_by("open", "_first").alias("open"),
-            F.max("high").alias("high"),
-            F.min("low").alias("low"),
-            F.max_by("close", "_last").alias("close"),
-            F.sum("volume").cast("double").alias("volume"),
-        )
-        .withColumn("interval", F.lit(interval))
+        partials.withColumn("interval", F.lit(interval))
+        .withColumn("volume", F.col("volume").cast("double"))
         .select(*KEY, TS, *VALUES)
     )
 
@@ -78,9 +84,4 @@ def candles_from_ticks(
     the same instant, a price and a size. ``tick_id=None`` says that instants never repeat within
     a series. Sizes are added exactly, to 18 places. One shuffle, of partial candles only.
     """
-    partials = partial_candles(ticks, interval, price, size, micros, tick_id, keys)
-    return (
-        partials.withColumn("interval", F.lit(interval))
-        .withColumn("volume", F.col("volume").cast("double"))
-        .select(*KEY, TS, *VALUES)
-    )
+    return finished_candles(partial_candles(ticks, interval, price, size, micros, tick_id, keys), interval)
