@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
     ArrayType,
@@ -16,7 +16,7 @@ from pyspark.sql.types import (
 )
 
 from wickstore.functions.candles import unpack
-from wickstore.functions.epoch import interval_ms
+from wickstore.functions.epoch import floor_div, interval_ms
 from wickstore.functions.keys import normalised
 from wickstore.operators.filters import clip, split_valid, validate
 from wickstore.schema import CANDLE_RECORD, KEY, KEY_FIELDS, TS, VALUES
@@ -75,15 +75,18 @@ def checked_candles(pages: DataFrame) -> DataFrame:
     return validate(raw_candles(pages), CANDLE_RECORD)
 
 
+def _step() -> Column:
+    unknown = F.concat(F.lit("unknown interval: "), F.coalesce("interval", F.lit("null")))
+    return F.coalesce(interval_ms(F.col("interval")), F.raise_error(unknown).cast("bigint"))
+
+
 def page_plan(requests: DataFrame, limit: int = PAGE_LIMIT) -> DataFrame:
     """The pages that cover ``start <= timestamp < end`` of each request.
 
     ``requests`` holds the series key, ``start`` and ``end`` in milliseconds. Empty ranges plan no
     page; an interval that has no length is an error.
     """
-    unknown = F.concat(F.lit("unknown interval: "), F.coalesce("interval", F.lit("null")))
-    step = F.coalesce(interval_ms(F.col("interval")), F.raise_error(unknown).cast("bigint"))
-    span = step * F.lit(limit).cast(LongType())
+    span = _step() * F.lit(limit).cast(LongType())
     planned = (
         requests.withColumn("_span", span)
         .filter((F.col("_span") > 0) & (F.col("start") < F.col("end")))
@@ -100,3 +103,63 @@ def page_plan(requests: DataFrame, limit: int = PAGE_LIMIT) -> DataFrame:
         "page_start",
         F.least(F.col("page_start") + F.col("_span"), F.col("end")).alias("page_end"),
     )
+
+
+def answered_spans(answers: DataFrame) -> DataFrame:
+    """``since`` and ``until`` of each landed answer: it tells what the exchange has up to its last candle.
+
+    ``answers`` holds the series key, ``since`` (the time that was asked for) and the ``candles`` that came. One
+    without a candle at or after ``since`` made no progress and spans nothing. Equal spans come once.
+    """
+    stamp = F.transform("candles", lambda candle: F.get(candle, 0).try_cast("double").cast("bigint"))
+    last = F.array_max(F.filter(stamp, lambda at: at >= F.col("since")))
+    spans = normalised(answers).withColumn("_last", last)
+    until = F.coalesce(F.col("_last") + _step(), F.col("since"))
+    return spans.select(*KEY, "since", until.alias("until")).distinct()
+
+
+def pages_to_fetch(plan: DataFrame, answers: DataFrame, limit: int = PAGE_LIMIT) -> DataFrame:
+    """The parts ``fetch_start <= timestamp < fetch_end`` of planned pages that no landed answer covers.
+
+    ``plan`` comes from ``page_plan``; ``answers`` as in ``answered_spans``. ``reason`` says why a part is open:
+    its page is ``absent`` (nothing was landed for it), ``empty`` (only answers without candles) or ``short``
+    (answers ended before the page did, or left a hole). Times between two candles of one answer are covered: the
+    exchange has none there.
+
+    Spans and pages meet by series and time bucket, and the sweep that merges spans runs inside one page, so a
+    long series is many small pieces.
+    """
+    span = _step() * F.lit(limit).cast(LongType())
+    page = [*KEY, "page", "page_start", "page_end"]
+
+    def bucketed(df: DataFrame, start: str, last: Column) -> DataFrame:
+        buckets = F.sequence(floor_div(F.col(start), span), floor_div(last, span))
+        return df.withColumn("_bucket", F.explode(buckets))
+
+    planned = normalised(plan.select(*page)).distinct()
+    spans = answered_spans(answers)
+    met = bucketed(planned, "page_start", F.col("page_end") - 1).join(
+        bucketed(spans, "since", F.greatest(F.col("since"), F.col("until") - 1)),
+        [*KEY, "_bucket"],
+    )
+    inside = (F.col("since") < F.col("page_end")) & (
+        (F.col("until") > F.col("page_start")) | (F.col("since") >= F.col("page_start"))
+    )
+    pieces = met.filter(inside).select(
+        *page,
+        F.greatest("since", "page_start").alias("start"),
+        F.least("until", "page_end").alias("end"),
+    )
+    # Every page ends in a mark, behind which nothing is wanted.
+    marks = planned.select(*page, F.col("page_end").alias("start"), F.lit(None).cast("bigint").alias("end"))
+    own = Window.partitionBy(*page)
+    earlier = own.orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    covers = F.col("end") > F.col("start")
+    reached = F.greatest(F.max(F.when(covers, F.col("end"))).over(earlier), F.col("page_start"))
+    reason = F.when(F.max(covers).over(own), "short").when(F.count("end").over(own) > 0, "empty")
+    swept = pieces.distinct().unionByName(marks).withColumns(
+        {"fetch_start": reached, "fetch_end": F.col("start"), "reason": F.coalesce(reason, F.lit("absent"))}
+    )
+    # Parts end where a span begins or the page ends; an answer without candles says why, no more.
+    swept = swept.filter((F.col("end").isNull() | covers) & (F.col("fetch_start") < F.col("fetch_end")))
+    return swept.select(*page, "fetch_start", "fetch_end", "reason")
