@@ -94,6 +94,12 @@ def _newest(frame: str, keys: str) -> str:
 QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY "timestamp" DESC) = 1"""
 
 
+_PLAN = f"""s AS (SELECT {KEY}, min("timestamp") AS lo, max("timestamp") + {MINUTE} AS hi
+      FROM m GROUP BY ALL),
+p AS (SELECT *, unnest(range(lo, hi, {1000 * MINUTE})) AS page_start FROM s),
+plan AS (SELECT {KEY}, (page_start - lo) // {1000 * MINUTE} AS page, page_start,
+                least(page_start + {1000 * MINUTE}, hi) AS page_end FROM p)"""
+
 _CUSTOMER_KEYS = """
 WITH k AS (
   SELECT c_custkey, 'ohlcv' AS data_type,
@@ -136,13 +142,7 @@ SELECT h.* REPLACE (v.volume AS volume) FROM h JOIN v USING (coin, "timestamp")"
     "fetch_clip": (
         f'{M} SELECT * FROM m WHERE "timestamp" >= {JAN_10} AND "timestamp" < {JAN_20}'
     ),
-    "fetch_page_plan": f"""{M},
-s AS (SELECT {KEY}, min("timestamp") AS lo, max("timestamp") + {MINUTE} AS hi
-      FROM m GROUP BY ALL),
-p AS (SELECT *, unnest(range(lo, hi, {1000 * MINUTE})) AS page_start FROM s)
-SELECT {KEY}, (page_start - lo) // {1000 * MINUTE} AS page, page_start,
-       least(page_start + {1000 * MINUTE}, hi) AS page_end
-FROM p""",
+    "fetch_page_plan": f"{M}, {_PLAN} SELECT * FROM plan",
     "validate_split": f"""{_PROBLEMS},
 checked AS (
   SELECT *, concat_ws(',', CASE WHEN bad_ts THEN 'timestamp' END,
@@ -255,8 +255,7 @@ SELECT event_id, CAST(user_id % 7 AS VARCHAR) || {_UNIT} AS "text",
     AS service_ms
 FROM events""",
     "store_roundtrip": f"{H} SELECT * FROM h",
-    "store_by_month": f"""WITH d AS ({_DAILY})
-SELECT * FROM d WHERE "timestamp" BETWEEN 852076800000 AND 915148800000""",
+    "store_by_month": f"WITH d AS ({_DAILY}) SELECT * FROM d",
     "store_unpartitioned": f"{H} SELECT * FROM h",
     "store_overwrite_series": f"""{H}
 SELECT * REPLACE (CASE WHEN coin IN ('CLICK', 'VIEW') THEN volume * 2 ELSE volume END AS volume)
@@ -267,9 +266,7 @@ SELECT *, CASE WHEN "timestamp" >= {JAN_15} THEN high - low END AS spread FROM h
     "store_missing_empty": f"{H} SELECT * FROM h",
     "range_closed": f'{H} SELECT * FROM h WHERE "timestamp" BETWEEN {JAN_5} AND {JAN_9}',
     "range_open_ended": f'{H} SELECT * FROM h WHERE "timestamp" >= {JAN_20}',
-    "project_columns": (
-        f'{H} SELECT coin, close FROM h WHERE "timestamp" BETWEEN {JAN_5} AND {JAN_20}'
-    ),
+    "project_columns": f"{H} SELECT coin, close FROM h",
     "filter_tuples": f"""{H}
 SELECT * FROM h WHERE coin IN ('CLICK', 'VIEW', 'ERROR') AND coin <> 'ERROR'
   AND close > 20 AND volume <= 400 AND "timestamp" >= {JAN_5}""",
@@ -299,9 +296,9 @@ u AS (SELECT * FROM h UNION ALL SELECT * FROM m)
 SELECT {KEY}, min("timestamp") AS first_ts, max("timestamp") AS last_ts, count(*) AS n_rows
 FROM m GROUP BY ALL""",
     "count_tolerance": f"""{H},
-c AS (SELECT {KEY}, count(*) AS n_rows FROM h
-      WHERE "timestamp" >= {JAN_5} AND "timestamp" < {JAN_20} GROUP BY ALL)
-SELECT *, CAST(360 AS DOUBLE) AS n_expected, abs(n_rows - 360) <= 360 * 0.06 AS within FROM c""",
+e AS (SELECT CAST((max("timestamp") - min("timestamp")) // {HOUR} + 1 AS DOUBLE) AS n_expected FROM h),
+c AS (SELECT {KEY}, count(*) AS n_rows FROM h GROUP BY ALL)
+SELECT *, abs(n_rows - n_expected) <= n_expected * 0.06 AS within FROM c, e""",
     "list_directories": f"""{HD}
 SELECT DISTINCT coin AS name FROM (SELECT coin FROM h UNION ALL SELECT coin FROM d)""",
     "page_limit_offset": f"""{M}, {_place('m')}
@@ -341,11 +338,10 @@ missing AS ({_missing('kept')})
 SELECT {ROW} FROM h
 SEMI JOIN missing USING (data_type, exchange, coin, "interval", "timestamp")""",
     "completeness": f"""{H}, {_REQUESTED},
-present AS (SELECT {KEY}, count(DISTINCT "timestamp") AS n FROM h
-            WHERE "timestamp" BETWEEN {JAN_5} AND {JAN_5 + 12 * HOUR} GROUP BY ALL)
-SELECT {KEY}, CAST(13 AS BIGINT) AS n_expected, coalesce(n, 0) AS n_present,
-       coalesce(n, 0) = 13 AS is_complete
-FROM requested LEFT JOIN present USING (data_type, exchange, coin, "interval")""",
+present AS (SELECT {KEY}, count(DISTINCT "timestamp") AS n FROM h GROUP BY ALL),
+e AS (SELECT (max("timestamp") - min("timestamp")) // {HOUR} + 1 AS n_expected FROM h)
+SELECT {KEY}, n_expected, coalesce(n, 0) AS n_present, coalesce(n, 0) = n_expected AS is_complete
+FROM requested LEFT JOIN present USING (data_type, exchange, coin, "interval"), e""",
     "staleness": f"{H}, {_REQUESTED}, {_PARTLY}, {_STALE} SELECT * FROM stale",
     "sync_windows": f"{H}, {_REQUESTED}, {_PARTLY}, {_STALE}, {_WINDOWS} SELECT * FROM windows",
     "sync_increment": f"""{H}, {_REQUESTED}, {_PARTLY}, {_STALE}, {_WINDOWS}
@@ -355,12 +351,52 @@ WHERE h."timestamp" >= sync_start AND h."timestamp" < sync_end""",
     "idempotent_append": f"{H} SELECT * FROM h",
     "sync_raw_symbols": f"{H} SELECT * FROM h",
     "sync_revised": f"""{H},
-l AS (SELECT coin, max("timestamp") AS last FROM h WHERE coin <> 'VIEW' AND "timestamp" < {JAN_20} GROUP BY coin)
+l AS (SELECT coin, max("timestamp") AS last FROM h WHERE "timestamp" < {JAN_20} GROUP BY coin)
 SELECT h.*, CAST(CASE WHEN "timestamp" = last THEN 2 ELSE 1 END AS BIGINT) AS n_versions FROM h JOIN l USING (coin)""",
     "page_walk": f"""{M} SELECT * REPLACE ("timestamp" // {HOUR} * {HOUR} AS "timestamp") FROM m""",
     "read_through": f"""{H}, late AS (SELECT * FROM h WHERE "timestamp" >= {JAN_15}),
 {_place('late')}
 SELECT * EXCLUDE (pos) FROM placed WHERE pos >= 100 AND pos < 300""",
     "stream_dedup": f"{H} SELECT * FROM h",
+    "page_coverage": f"""{M}, {_PLAN},
+kind AS (SELECT *, page % 5 AS kind FROM plan),
+answers AS (
+  SELECT k.data_type, k.exchange, k.coin, k."interval", k.page, k.page_start, skip, page_start + skip AS since,
+         max("timestamp") + {MINUTE} AS until
+  FROM (SELECT *, unnest(CASE WHEN kind = 2 THEN [0, {300 * MINUTE}] ELSE [0] END) AS skip FROM kind WHERE kind <> 1) k
+  LEFT JOIN m ON m.coin = k.coin AND k.kind <> 3
+    AND "timestamp" >= page_start + skip AND "timestamp" < page_end
+    AND (k.kind <> 2 OR (skip = 0 AND "timestamp" < page_start + {500 * MINUTE})
+         OR (skip > 0 AND "timestamp" <= page_start + {700 * MINUTE}))
+  GROUP BY ALL),
+minutes AS (SELECT *, unnest(range(page_start, page_end, {MINUTE})) AS moment FROM plan),
+uncovered AS (SELECT * FROM minutes n WHERE NOT EXISTS (
+  SELECT 1 FROM answers a WHERE a.coin = n.coin AND a.page = n.page AND moment >= since AND moment < until)),
+runs AS (SELECT *, moment - {MINUTE} * row_number() OVER (PARTITION BY coin, page ORDER BY moment) AS run FROM uncovered)
+SELECT data_type, exchange, coin, "interval", page, page_start, page_end,
+       min(moment) AS fetch_start, max(moment) + {MINUTE} AS fetch_end,
+       CASE WHEN (SELECT count(until) FROM answers a WHERE a.coin = r.coin AND a.page = r.page) > 0 THEN 'short'
+            WHEN page % 5 <> 1 THEN 'empty' ELSE 'absent' END AS reason
+FROM runs r GROUP BY data_type, exchange, coin, "interval", page, page_start, page_end, run""",
+    "verify_copy": f"""{M}, f AS (SELECT *, "timestamp" // {MINUTE} % 997 AS fate FROM m)
+SELECT * EXCLUDE (fate), CASE fate WHEN 1 THEN 'b' ELSE 'a' END AS side, CAST(1 AS BIGINT) AS copies
+FROM f WHERE fate < 3
+UNION ALL
+SELECT * EXCLUDE (fate) REPLACE (close + 1 AS close), 'b', 1 FROM f WHERE fate = 2""",
+    "store_compact": f"""{M}, d AS (SELECT *, make_timestamp("timestamp" * 1000) AS moment FROM m)
+SELECT {KEY}, CAST(year(moment) AS INTEGER) AS "year", CAST(month(moment) AS INTEGER) AS "month",
+       CAST(day(moment) AS INTEGER) AS "day", count(*) AS n_rows, CAST(1 AS BIGINT) AS n_files FROM d GROUP BY ALL""",
+    "store_page": f"""{M}, {_place('m')}
+SELECT * EXCLUDE (pos) FROM placed WHERE pos >= 250 AND pos < 350""",
+    "store_last_timestamps": f"""{M} SELECT {KEY}, max("timestamp") AS latest_ts FROM m GROUP BY ALL""",
+    "page_stable": f"""{H},
+early AS (SELECT * FROM h WHERE coin IN ('CLICK', 'ERROR') OR "timestamp" // {HOUR} % 3 > 0),
+u AS (SELECT * FROM early UNION ALL SELECT * FROM early WHERE high > 300), {_place('u')},
+size AS (SELECT CAST(ceil(max(n) / 4.0) AS BIGINT) AS size FROM (SELECT count(*) AS n FROM u GROUP BY coin))
+SELECT placed.* EXCLUDE (pos), CAST(pos // size AS INTEGER) AS page FROM placed, size""",
+    "stream_quarantine": f"""{H}
+SELECT *, NULL::VARCHAR AS reject_reason FROM h WHERE "timestamp" // {HOUR} % 13 <> 0
+UNION ALL
+SELECT {KEY}, "timestamp", NULL, NULL, NULL, NULL, NULL, 'type: close' FROM h WHERE "timestamp" // {HOUR} % 13 = 0""",
     "stream_candles_1h": f"{H} SELECT * FROM h",
 }

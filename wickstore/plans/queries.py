@@ -25,14 +25,21 @@ from wickstore.schema import (
     MINUTE_MS,
     NO_DATE,
     TS,
+    VALUES,
     YEAR_MONTH,
     SeriesKey,
 )
-from wickstore.session import scratch_path
+from wickstore.session import cut_lineage, scratch_path
 from wickstore.sources import infer, pages
+from wickstore.sources.compaction import compact
 from wickstore.sources.store import CandleStore
 from wickstore.sources.ticks import candles_from_ticks
-from wickstore.streaming.ingest import ingest_candles, stream_candles
+from wickstore.streaming.ingest import (
+    ingest_candles,
+    ingest_pages,
+    read_quarantine,
+    stream_candles,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -130,6 +137,39 @@ def fetch_page_plan(spark, sf_dir):
     return pages.page_plan(requests)
 
 
+def _answers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The page plan of the minute candles, and what was landed for it: of each five pages one has no answer, one
+    half an answer and a later one that overlaps it, one an empty answer, two all there is."""
+    plan = fetch_page_plan(spark, sf_dir)
+    span = pages.PAGE_LIMIT * MINUTE_MS
+    rows = _minutely(spark, sf_dir).join(plan, list(KEY)).filter(
+        F.col(TS).between(F.col("page_start"), F.col("page_end") - 1)
+    )
+    kind, into = F.col("page") % 5, F.col(TS) - F.col("page_start")
+    asked = plan.filter("page % 5 <> 1").select(*KEY, "page_start", F.lit(0).alias("skip"))
+    again = plan.filter("page % 5 = 2").select(*KEY, "page_start", F.lit(span * 3 // 10).alias("skip"))
+    came = F.when(kind == 2, F.array(
+        F.when(into < span // 2, 0), F.when(into.between(span * 3 // 10, span * 7 // 10), span * 3 // 10)
+    )).when(kind.isin(0, 4), F.array(F.lit(0)))
+    landed = (
+        rows.withColumn("skip", F.explode(came))
+        .filter("skip is not null")
+        .groupBy(*KEY, "page_start", F.col("skip").cast("int").alias("skip"))
+        .agg(F.collect_list(F.array(TS, *VALUES)).alias("candles"))
+    )
+    none = F.array().cast("array<array<double>>")
+    answers = asked.unionByName(again).join(landed, [*KEY, "page_start", "skip"], "left")
+    return plan, answers.select(
+        *KEY, (F.col("page_start") + F.col("skip")).alias("since"), F.coalesce("candles", none).alias("candles")
+    )
+
+
+@query
+def page_coverage(spark, sf_dir):
+    plan, answers = _answers(spark, sf_dir)
+    return pages.pages_to_fetch(plan, answers)
+
+
 @query
 def validate_split(spark, sf_dir):
     event = F.col("event_id")
@@ -324,9 +364,6 @@ def interval_ms(spark, sf_dir):
 
 # ---------------------------------------------------------------- store: write and read
 
-_shared_stores: dict[tuple[str, str], CandleStore] = {}
-
-
 def _new_store(spark: SparkSession, layout=None) -> CandleStore:
     root = scratch_path(spark, "store")
     return CandleStore(spark, root) if layout is None else CandleStore(spark, root, layout)
@@ -338,12 +375,8 @@ def _store_of(spark: SparkSession, rows: DataFrame, layout=None) -> CandleStore:
     return store
 
 
-def _shared_store(spark: SparkSession, sf_dir: str) -> CandleStore:
-    """One hourly store per session and data folder for queries that only read."""
-    at = (spark.sparkContext.applicationId, sf_dir)
-    if at not in _shared_stores:
-        _shared_stores[at] = _store_of(spark, _hourly(spark, sf_dir))
-    return _shared_stores[at]
+def _hourly_store(spark: SparkSession, sf_dir: str) -> CandleStore:
+    return _store_of(spark, _hourly(spark, sf_dir))
 
 
 @query
@@ -354,7 +387,7 @@ def store_roundtrip(spark, sf_dir):
 @query
 def store_by_month(spark, sf_dir):
     store = _store_of(spark, frames.order_candles(spark, sf_dir), YEAR_MONTH)
-    return store.read_range(start=852076800000, end=915148800000)
+    return store.read_range()
 
 
 @query
@@ -396,18 +429,17 @@ def store_missing_empty(spark, sf_dir):
 
 @query
 def range_closed(spark, sf_dir):
-    return _shared_store(spark, sf_dir).read_range(start=JAN_5, end=JAN_9)
+    return _hourly_store(spark, sf_dir).read_range(start=JAN_5, end=JAN_9)
 
 
 @query
 def range_open_ended(spark, sf_dir):
-    return _shared_store(spark, sf_dir).read_range(start=JAN_20)
+    return _hourly_store(spark, sf_dir).read_range(start=JAN_20)
 
 
 @query
 def project_columns(spark, sf_dir):
-    store = _shared_store(spark, sf_dir)
-    return store.read_range(start=JAN_5, end=JAN_20, columns=["coin", "close"])
+    return _hourly_store(spark, sf_dir).read_range(columns=["coin", "close"])
 
 
 @query
@@ -419,13 +451,13 @@ def filter_tuples(spark, sf_dir):
         ("volume", "<=", 400.0),
         (TS, ">=", JAN_5),
     ]
-    return _shared_store(spark, sf_dir).read_range(where=where)
+    return _hourly_store(spark, sf_dir).read_range(where=where)
 
 
 @query
 def series_filter(spark, sf_dir):
     key = SeriesKey(exchange="Synthetic", coin="click", interval="1H")
-    return _shared_store(spark, sf_dir).read_range(key)
+    return _hourly_store(spark, sf_dir).read_range(key)
 
 
 @query
@@ -445,23 +477,63 @@ def latest_wins(spark, sf_dir):
     return store.read_latest_wins()
 
 
+@query
+def verify_copy(spark, sf_dir):
+    """A copy that lost some rows, has some twice and some changed, against its original."""
+    rows = _minutely(spark, sf_dir)
+    fate = F.floor(F.col(TS) / MINUTE_MS) % 997
+    times = F.when(fate == 0, 0).when(fate == 1, 2).otherwise(1)
+    damaged = rows.withColumn("close", F.when(fate == 2, F.col("close") + 1).otherwise(F.col("close")))
+    damaged = damaged.withColumn("_n", F.explode(F.array_repeat(F.lit(1), times))).drop("_n")
+    return sets.verify(rows, damaged)
+
+
+def _appended(spark: SparkSession, sf_dir: str, times: int) -> CandleStore:
+    """Minute candles in several appends, each with rows of every day."""
+    store, rows = _new_store(spark), cut_lineage(_minutely(spark, sf_dir))
+    for n in range(times):
+        store.write(rows.filter(F.pmod(F.xxhash64(*KEY, TS), F.lit(times)) == n), ingest_id=n + 1)
+    return store
+
+
+@query
+def store_compact(spark, sf_dir):
+    """Files and rows of each partition after five appends were compacted."""
+    store = _appended(spark, sf_dir, 5)
+    compact(store)
+    parts = store.partition_columns
+    counted = store.scan().groupBy(*parts).agg(F.count(F.lit(1)).alias("n_rows"))
+    return counted.join(store.file_counts().drop("n_bytes"), parts)
+
+
+@query
+def store_page(spark, sf_dir):
+    """A page by stored counts, of rows that came in several appends."""
+    return _appended(spark, sf_dir, 3).page(Paging(limit=100, offset=250))
+
+
+@query
+def store_last_timestamps(spark, sf_dir):
+    return _appended(spark, sf_dir, 3).last_timestamps()
+
+
 # ----------------------------------------------------------------------- catalog
 
 
 @query
 def list_coins(spark, sf_dir):
-    return _shared_store(spark, sf_dir).list_coins("Synthetic")
+    return _hourly_store(spark, sf_dir).list_coins("Synthetic")
 
 
 @query
 def series_exists(spark, sf_dir):
     wanted = frames.requested(_hourly(spark, sf_dir))
-    return _shared_store(spark, sf_dir).which_exist(wanted)
+    return _hourly_store(spark, sf_dir).which_exist(wanted)
 
 
 @query
 def store_inventory(spark, sf_dir):
-    return _shared_store(spark, sf_dir).inventory()
+    return _hourly_store(spark, sf_dir).inventory()
 
 
 @query
@@ -484,7 +556,7 @@ def latest_lookback(spark, sf_dir):
 
 @query
 def latest_full(spark, sf_dir):
-    return _shared_store(spark, sf_dir).latest()
+    return _hourly_store(spark, sf_dir).latest()
 
 
 @query
@@ -505,8 +577,9 @@ def coverage(spark, sf_dir):
 
 @query
 def count_tolerance(spark, sf_dir):
-    in_span = filters.clip(_hourly(spark, sf_dir), JAN_5, JAN_20)
-    return stats.count_tolerance(in_span, JAN_20 - JAN_5, HOUR_MS, 0.06)
+    rows = _hourly(spark, sf_dir)
+    span = rows.agg((F.max(TS) - F.min(TS)).alias("span")).first().span
+    return stats.count_tolerance(rows, span + HOUR_MS, HOUR_MS, 0.06)
 
 
 @query
@@ -535,13 +608,13 @@ def page_with_copies(spark, sf_dir):
 @query
 def page_one_series(spark, sf_dir):
     key = SeriesKey(exchange="synthetic", coin="VIEW", interval="1h")
-    one = _shared_store(spark, sf_dir).read_range(key)
+    one = _hourly_store(spark, sf_dir).read_range(key)
     return paging.page_of_one(one, Paging(limit=10, offset=20))
 
 
 @query
 def page_all(spark, sf_dir):
-    rows = _shared_store(spark, sf_dir).read_range()
+    rows = _hourly_store(spark, sf_dir).read_range()
     return paging.page(rows, Paging.all_records()).orderBy(*KEY, TS)
 
 
@@ -580,6 +653,24 @@ def page_walk(spark, sf_dir):
     return sets.union_batches(*walked)
 
 
+@query
+def page_stable(spark, sf_dir):
+    """Pages walked by cursor while rows arrive before and behind it: each first row once, on its page."""
+    rows = _hourly(spark, sf_dir)
+    early = F.col("coin").isin("CLICK", "ERROR") | (F.floor(F.col(TS) / HOUR_MS) % 3 > 0)
+    store = _new_store(spark)
+    store.write(rows.filter(early), ingest_id=1)
+    store.write(rows.filter(early & (F.col("high") > 300)), ingest_id=2)
+    bound, late, cursor, found = store.snapshot(), rows.filter(~early), None, []
+    most = store.inventory().agg(F.max("n_rows")).first()[0]
+    size = -(-most // 4)
+    for n in range(4):
+        page, cursor = store.next_page(size, bound, cursor)
+        found.append(page.withColumn("page", F.lit(n)))
+        store.write(late.filter(F.floor(F.col(TS) / HOUR_MS) % 4 == n), ingest_id=3 + n)
+    return sets.union_batches(*found)
+
+
 @query
 def market_available(spark, sf_dir):
     rows = _hourly(spark, sf_dir)
@@ -657,9 +748,8 @@ def gap_fill(spark, sf_dir):
 @query
 def completeness(spark, sf_dir):
     rows = _hourly(spark, sf_dir)
-    bounds = frames.requested(rows).withColumns(
-        {"first_ts": F.lit(JAN_5), "last_ts": F.lit(JAN_5 + 12 * HOUR_MS)}
-    )
+    span = rows.agg(F.min(TS).alias("first"), F.max(TS).alias("last")).first()
+    bounds = frames.requested(rows).withColumns({"first_ts": F.lit(span.first), "last_ts": F.lit(span.last)})
     return gaps.completeness(rows, bounds, HOUR_MS)
 
 
@@ -737,14 +827,14 @@ def sync_raw_symbols(spark, sf_dir):
 def sync_revised(spark, sf_dir):
     """The last stored candle of each series is corrected by the next sync; a repeat adds nothing."""
     rows = _hourly(spark, sf_dir)
-    old = _partly_stored(rows).filter(F.col("coin") != "VIEW")
+    old = rows.filter(F.col(TS) < JAN_20)
     last = _latest_of(old).withColumnRenamed("latest_ts", "_last")
     wrong = old.join(last, list(KEY)).withColumn(
         "close", F.when(F.col(TS) == F.col("_last"), F.col("close") + 1).otherwise(F.col("close"))
     )
     store = _store_of(spark, wrong.select(*rows.columns))
     for _ in range(2):
-        sync.sync(store, rows.filter("coin != 'VIEW'"), last.select(*KEY), _last(rows) + 1000)
+        sync.sync(store, rows, last.select(*KEY), _last(rows) + 1000)
     stored = store.read_range().groupBy(*KEY, TS).count().withColumnRenamed("count", "n_versions")
     return store.read_latest_wins().join(stored, [*KEY, TS])
 
@@ -768,11 +858,35 @@ def stream_dedup(spark, sf_dir):
     return store.read_range()
 
 
+@query
+def stream_quarantine(spark, sf_dir):
+    """Landed pages as a stream; every 13th hour's candle has a price that is no number."""
+    bad = lambda c: F.pmod(F.floor(c[0] / HOUR_MS), F.lit(13)) == 0
+    spelled = lambda c: F.array(
+        c[0].cast("bigint").cast("string"),
+        *[c[n].cast("string") for n in (1, 2, 3)],
+        F.when(bad(c), F.lit("not-a-number")).otherwise(c[4].cast("string")),
+        c[5].cast("string"),
+    )
+    landed = scratch_path(spark, "pages")
+    given = frames.raw_pages(_hourly(spark, sf_dir)).withColumn("candles", F.transform("candles", spelled))
+    given.repartition(3).write.json(landed)
+    stream = spark.readStream.schema(pages.PAGE_SCHEMA).option("maxFilesPerTrigger", 1).json(landed)
+    store, folder = _new_store(spark), scratch_path(spark, "quarantine")
+    progress = scratch_path(spark, "progress")
+    ingest_pages(stream, store, progress, quarantine=folder).awaitTermination()
+    rejected = read_quarantine(spark, folder).select(
+        *KEY, F.get_json_object("raw", f"$.{TS}").cast("bigint").alias(TS), "reject_reason"
+    )
+    return sets.union_batches(store.read_range().withColumn("reject_reason", F.lit(None)), rejected)
+
+
 @query
 def stream_candles_1h(spark, sf_dir):
     ticks = frames.event_ticks(frames.table(spark, sf_dir, "events"))
     store = _new_store(spark)
+    # Two batches a run, so that the four batches here are merged on two levels.
     stream_candles(
-        _landed(spark, ticks), "1h", store, scratch_path(spark, "progress")
+        _landed(spark, ticks), "1h", store, scratch_path(spark, "progress"), fan=2
     ).awaitTermination()
     return store.read_latest_wins()
