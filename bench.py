@@ -20,6 +20,8 @@ from wickstore.operators.paging import Paging
 from wickstore.plans import frames
 from wickstore.schema import DAY_MS, KEY, MINUTE_MS, TS
 from wickstore.session import cut_lineage, scratch_path
+from wickstore.sources.compaction import compact
+from wickstore.streaming.ingest import ingest_candles
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
 CPUS = os.environ.get("BENCH_CPUS", "8")
@@ -79,8 +81,28 @@ def main() -> None:
         lambda: run(store.read_range(None, JAN_5, JAN_7, prune_dates=False)),
     )
     timed("range_one_series", lambda: run(store.read_range(key, JAN_5, JAN_7)))
-    timed("store_latest", lambda: run(store.latest()))
+    timed("store_inventory_first", lambda: run(store.inventory()), repeats=1)
     timed("store_inventory", lambda: run(store.inventory()))
+    timed("store_latest", lambda: run(store.latest()))
+    timed("store_list_coins", lambda: run(store.list_coins("synthetic")))
+    timed("store_page_small_offset", lambda: run(store.page(Paging(100, 50))))
+    timed("store_page_deep_offset", lambda: run(store.page(Paging(100, 10_000))))
+    late = minutes.filter((F.col(TS) >= JAN_5) & (F.col(TS) < JAN_5 + DAY_MS // 24))
+    late = cut_lineage(late.withColumn("close", F.col("close") + 1))
+    timed("store_append_late", lambda: store.append_new(late), repeats=1)
+    timed("store_compact", lambda: compact(store), repeats=1)
+    one = minutes.filter("coin = 'CLICK'")
+    timed("store_overwrite_series", lambda: store.write(one, mode="overwrite"), repeats=1)
+    timed("store_drop_series", lambda: store.drop_series(one.select(*KEY).distinct()), repeats=1)
+
+    landed = scratch_path(spark, "landed")
+    hours.repartition(4).write.parquet(landed)
+
+    def ingest() -> None:
+        stream = spark.readStream.schema(hours.schema).option("maxFilesPerTrigger", 1).parquet(landed)
+        ingest_candles(stream, fresh(), scratch_path(spark, "progress")).awaitTermination()
+
+    timed("stream_ingest_four_batches", ingest, repeats=1)
 
     span = hours.agg(F.min(TS).alias("lo"), F.max(TS).alias("hi")).first()
     cutoff = span.lo + (span.hi - span.lo) * 8 // 10

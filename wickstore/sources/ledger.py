@@ -12,7 +12,7 @@ import time
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
     BinaryType,
@@ -80,19 +80,21 @@ class Ledger:
         # A file that two readers counted at once has two equal entries.
         return self.spark.read.schema(schema).parquet(self.folder).dropDuplicates([*self.columns, "file"])
 
-    def counts(self, paths: Sequence[str] = ()) -> DataFrame:
+    def counts(self, paths: Sequence[str] = (), where: Column | None = None) -> DataFrame:
         """One row per data file: rows, distinct times, time bounds, newest ingest id of its last time, ingest bounds.
 
-        Files without an entry are counted here and remembered.
+        Files without an entry are counted here and remembered. ``where``, on partition columns, keeps entries of
+        other series from being read.
         """
-        listed = cut_lineage(self.files(paths))
-        known = self._entries()
+        where = F.lit(True) if where is None else where
+        listed = cut_lineage(self.files(paths).filter(where))
+        known = self._entries().filter(where)
         names = [*self.columns, "file"]
         new = listed.join(known.select(*names), names, "left_anti")
         some = new.select("path").limit(MAX_NAMED + 1).collect()
         if some:
             self._write(self._counted(new, [row.path for row in some]))
-            known = self._entries()
+            known = self._entries().filter(where)
         return listed.join(known, names)
 
     def _counted(self, new: DataFrame, named: list[str]) -> DataFrame:
@@ -135,7 +137,8 @@ class Ledger:
         runs = self._runs()
         names = [*self.columns, "file"]
         live = self._entries().join(self.files().select(*names), names, "left_semi")
-        live.repartition(8).write.parquet(f"{self.folder}/run={time.time_ns()}")
+        ordered = live.repartitionByRange(8, *self.columns).sortWithinPartitions(*self.columns)
+        ordered.write.parquet(f"{self.folder}/run={time.time_ns()}")
         for run in runs:
             delete_path(self.spark, run)
 

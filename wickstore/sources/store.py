@@ -345,7 +345,7 @@ class CandleStore:
         return self.ledger.files([self.folder(key)]).filter(self.key_filter(key))
 
     def _counts(self, key: SeriesKey | None) -> DataFrame:
-        return self.ledger.counts([self.folder(key)]).filter(self.key_filter(key))
+        return self.ledger.counts([self.folder(key)], self.key_filter(key))
 
     def _scan_series(self, key: SeriesKey | None) -> DataFrame:
         return self.scan(self.folder(key)).filter(self.key_filter(key))
