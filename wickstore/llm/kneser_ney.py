@@ -1,7 +1,8 @@
 """Quality classifier: interpolated modified Kneser-Ney model of byte n-grams trained on trusted text.
 
-All n-grams of all trusted documents are counted; continuation counts, discounts and interpolated
-probabilities are joins and aggregations over the count tables. The tables are dealt into shards of bounded
+All n-grams of all trusted documents are counted once, apart for two halves of them. Three models come from these
+counts side by side, as columns of the same tables: one of each half and one of both. Continuation counts,
+discounts and interpolated probabilities are joins and aggregations over the count tables. The tables are dealt into shards of bounded
 size by the byte before the predicted one; each shard scores every document's bytes that fall to it, and the
 sums give each document's perplexity.
 """
@@ -25,6 +26,9 @@ ORDER = 5
 SHARD_ENTRIES = 2_000_000
 #: Trusted documents of a language at which its own limits count half against the shared ones.
 PRIOR = 300
+#: Models of either half of the trusted documents, and of all of them.
+MODELS = (0, 1, 2)
+WHOLE = 2
 #: N-grams that a task holds before it hands its counts on.
 HELD = 2_000_000
 
@@ -42,17 +46,27 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def gram_counts(texts: DataFrame) -> DataFrame:
-    """(gram, c): how often each n-gram ends in the texts; counted in each task, then summed."""
+    """(gram, c0, c1, c2): how often each n-gram ends in texts of ``half`` 0, of half 1, and of both.
+
+    Counted in each task, then summed.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
         def out() -> pa.RecordBatch:
-            return pa.record_batch([pa.array(keys), pa.array(counts)], names=["gram", "c"])
+            grams_, halves = keys & ((1 << (8 * ORDER)) - 1), keys >> (8 * ORDER)
+            return pa.record_batch(
+                [pa.array(grams_), *[pa.array(np.where(halves == half, counts, 0)) for half in (0, 1)]],
+                names=["gram", "c0", "c1"],
+            )
 
         for batch in batches:
             for part in slices(batch):
-                found, times = np.unique(grams(*raw(filled(part.column("text")))), return_counts=True)
+                data, offsets = raw(filled(part.column("text")))
+                half = part.column("half").to_numpy().astype(np.int64)
+                own = grams(data, offsets) | np.repeat(half, np.diff(offsets)) << (8 * ORDER)
+                found, times = np.unique(own, return_counts=True)
                 both = np.concatenate([keys, found])
                 keys, back = np.unique(both, return_inverse=True)
                 counts = np.bincount(back, np.concatenate([counts, times]), len(keys)).astype(np.int64)
@@ -61,16 +75,23 @@ def gram_counts(texts: DataFrame) -> DataFrame:
                     keys, counts = keys[:0], counts[:0]
         yield out()
 
-    return texts.select("text").mapInArrow(run, "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c"))
+    counted = texts.select("text", "half").mapInArrow(run, "gram long, c0 long, c1 long")
+    sums = [F.sum(f"c{m}").alias(f"c{m}") for m in (0, 1)]
+    return counted.groupBy("gram").agg(*sums).withColumn("c2", F.col("c0") + F.col("c1"))
 
 
-def discounts(counts: DataFrame) -> list[float]:
-    """What is taken off counts of one, two, and three or more."""
-    row = counts.agg(*[F.count(F.when(F.col("c") == n, 1)).alias(f"n{n}") for n in range(1, 5)]).first()
-    n1, n2, n3, n4 = (max(1, row[f"n{n}"]) for n in range(1, 5))
-    y = n1 / (n1 + 2 * n2)
-    given = [1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3]
-    return [min(max(d, 0.1), n) for n, d in enumerate(given, 1)]
+def discounts(counts: DataFrame) -> list[list[float]]:
+    """For each model, what is taken off counts of one, two, and three or more."""
+    row = counts.agg(
+        *[F.count(F.when(F.col(f"c{m}") == n, 1)).alias(f"m{m}n{n}") for m in MODELS for n in range(1, 5)]
+    ).first()
+    found = []
+    for m in MODELS:
+        n1, n2, n3, n4 = (max(1, row[f"m{m}n{n}"]) for n in range(1, 5))
+        y = n1 / (n1 + 2 * n2)
+        given = [1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3]
+        found.append([min(max(d, 0.1), n) for n, d in enumerate(given, 1)])
+    return found
 
 
 def _entry(order: int, weight: bool, key: Column) -> Column:
@@ -82,40 +103,62 @@ def _tag(order: int, weight: bool) -> int:
     return (2 * order + weight) << 44
 
 
-def model(counts: DataFrame) -> DataFrame:
-    """(entry, value, byte): log probabilities and weights of all orders; ``byte`` is the last of the context.
+def model(counts: DataFrame) -> tuple[DataFrame, str]:
+    """(model, entry, value, byte): log probabilities and weights of all orders, and the folder they are read from.
 
-    The highest order has counts, each lower one the number of different bytes before its n-grams.
+    ``byte`` is the last of the context. The highest order has counts, each lower one the number of different
+    bytes before its n-grams. Every table of an order is written once and deleted when the next ones have it.
     """
-    below: DataFrame | None = None
-    tables = [counts]
+    spark = counts.sparkSession
+    tables, used = [counts], []
     for order in range(ORDER - 1, 0, -1):
         shorter = F.col("gram").bitwiseAND(F.lit((1 << (8 * order)) - 1)).alias("gram")
-        tables.append(tables[-1].select(shorter).groupBy("gram").agg(F.count("*").alias("c")))
-    entries = []
+        preceded = [F.count(F.when(F.col(f"c{m}") > 0, 1)).alias(f"c{m}") for m in MODELS]
+        table, path = kept_copy(tables[-1].groupBy(shorter).agg(*preceded), "continued")
+        tables.append(table)
+        used.append(path)
+    parts, below = [], None
     for order, table in enumerate(reversed(tables), 1):
-        d1, d2, d3 = discounts(table)
-        c = F.col("c")
-        off = F.when(c == 1, d1).when(c == 2, d2).otherwise(d3)
+        off = {
+            m: F.when(F.col(f"c{m}") == 0, 0.0).when(F.col(f"c{m}") == 1, d1).when(F.col(f"c{m}") == 2, d2).otherwise(d3)
+            for m, (d1, d2, d3) in enumerate(discounts(table))
+        }
         context = F.shiftright("gram", 8).alias("context")
         contexts = table.groupBy(context).agg(
-            F.sum("c").alias("total"), (F.sum(off) / F.sum("c")).alias("weight")
+            *[F.sum(f"c{m}").alias(f"total{m}") for m in MODELS],
+            *[F.try_divide(F.sum(off[m]), F.sum(f"c{m}")).alias(f"weight{m}") for m in MODELS],
         )
         joined = table.withColumn("context", context).join(contexts, "context")
         if below is None:
-            joined = joined.withColumn("lower", F.lit(1 / 256))
+            joined = joined.withColumns({f"lower{m}": F.lit(1 / 256) for m in MODELS})
         else:
             suffix = F.col("gram").bitwiseAND(F.lit((1 << (8 * (order - 1))) - 1))
-            joined = joined.withColumn("suffix", suffix).join(
-                below.select(F.col("gram").alias("suffix"), F.col("p").alias("lower")), "suffix"
-            )
-        p = F.greatest(c - off, F.lit(0.0)) / F.col("total") + F.col("weight") * F.col("lower")
-        below, _ = kept_copy(joined.select("gram", p.alias("p")), "order")
+            lower = below.select(F.col("gram").alias("suffix"), *[F.col(f"p{m}").alias(f"lower{m}") for m in MODELS])
+            joined = joined.withColumn("suffix", suffix).join(lower, "suffix")
+        p = [
+            F.when(
+                F.col(f"c{m}") > 0,
+                F.greatest(F.col(f"c{m}") - off[m], F.lit(0.0)) / F.col(f"total{m}") + F.col(f"weight{m}") * F.col(f"lower{m}"),
+            ).alias(f"p{m}")
+            for m in MODELS
+        ]
+        below, path = kept_copy(joined.select("gram", *p), "order")
+        used.append(path)
         last = F.shiftright("gram", 8).bitwiseAND(F.lit(255)) if order > 1 else F.lit(-1).cast("long")
-        entries.append(below.select(_entry(order, False, F.col("gram")).alias("entry"), F.log("p").alias("value"), last.alias("byte")))
+        parts.append(_entries(below, _entry(order, False, F.col("gram")), "p", last))
         last = F.col("context").bitwiseAND(F.lit(255)) if order > 1 else F.lit(-1).cast("long")
-        entries.append(contexts.select(_entry(order, True, F.col("context")).alias("entry"), F.log("weight").alias("value"), last.alias("byte")))
-    return reduce(DataFrame.union, entries)
+        parts.append(_entries(contexts, _entry(order, True, F.col("context")), "weight", last))
+    entries, path = kept_copy(reduce(DataFrame.union, parts), "model")
+    for old in used:
+        drop_copy(spark, old)
+    return entries, path
+
+
+def _entries(table: DataFrame, entry: Column, value: str, byte: Column) -> DataFrame:
+    """A row for each model that has the n-gram or context."""
+    each = F.array(*[F.struct(F.lit(m).alias("model"), F.col(f"{value}{m}").alias("value")) for m in MODELS])
+    rows = table.select(entry.alias("entry"), byte.alias("byte"), F.inline(each)).filter("value is not null")
+    return rows.select("model", "entry", F.log("value").alias("value"), "byte")
 
 
 class Shard:
@@ -210,17 +253,13 @@ def _scored(docs: DataFrame, shard) -> DataFrame:
     return chosen.mapInArrow(run, SCORES)
 
 
-def left_out(docs: DataFrame, trusted: DataFrame, size: int) -> DataFrame:
-    """(lang, perplexity) of the trusted documents, each under a model of the half of them that it is not in."""
+def left_out(docs: DataFrame, entries: DataFrame, trusted: DataFrame, size: int) -> DataFrame:
+    """(lang, perplexity) of the trusted documents, each under the model of the half that it is not in."""
     parts = []
-    for fold in range(2):
-        halves = [trusted.filter(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == side) for side in (fold, 1 - fold)]
-        held, rest = (rows_with(docs.select("doc_id", "text", "lang"), half, "doc_id", size) for half in halves)
-        counts, counts_path = kept_copy(gram_counts(rest), "grams")
-        entries, entries_path = kept_copy(model(counts), "model")
-        rows, _ = kept_copy(scores(held, entries, entries.count()), "held")
-        drop_copy(docs.sparkSession, counts_path)
-        drop_copy(docs.sparkSession, entries_path)
+    for half in (0, 1):
+        held = rows_with(docs.select("doc_id", "text", "lang"), trusted.filter(F.col("half") == 1 - half), "doc_id", size)
+        other = entries.filter(F.col("model") == half)
+        rows, _ = kept_copy(scores(held, other, other.count()), "held")
         parts.append(rows.filter("n_bytes > 0").select("lang", F.exp(-F.col("log_p") / F.col("n_bytes")).alias("perplexity")))
     return parts[0].union(parts[1])
 
@@ -238,18 +277,22 @@ def rated(docs: DataFrame, trusted: DataFrame, low: float = 0.001, high: float =
     ignored; an empty table gives an empty result.
     """
     trusted = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).dropna().distinct()
-    trusted, _ = kept_copy(trusted, "trusted")
-    texts = rows_with(docs.select("doc_id", "text"), trusted, "doc_id", trusted.count())
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2))
+    trusted, _ = kept_copy(trusted.withColumn("half", half.cast("int")), "trusted")
+    size = trusted.count()
+    texts = rows_with(docs.select("doc_id", "text"), trusted, "doc_id", size).withColumn("half", half)
     counts, counts_path = kept_copy(gram_counts(texts), "grams")
-    entries, entries_path = kept_copy(model(counts), "model")
-    rows, _ = kept_copy(scores(docs, entries, entries.count()), "scores")
+    entries, entries_path = model(counts)
     drop_copy(docs.sparkSession, counts_path)
+    whole = entries.filter(F.col("model") == WHOLE)
+    rows, _ = kept_copy(scores(docs, whole, whole.count()), "scores")
+    held, _ = kept_copy(left_out(docs, entries, trusted, size), "held")
     drop_copy(docs.sparkSession, entries_path)
     rows = rows.withColumn("perplexity", F.when(F.col("n_bytes") > 0, F.exp(-F.col("log_p") / F.col("n_bytes"))))
     known = rows.join(trusted, "doc_id", "left_semi").filter("perplexity is not null").select("lang", "perplexity")
     bounds = F.percentile_approx("perplexity", [low, high], 100_000)
     found = []
-    for part in (known, left_out(docs, trusted, trusted.count())):
+    for part in (known, held):
         found.append(part.groupBy(F.col("lang").alias("known_lang")).agg(bounds.alias("own"), F.count("*").alias("n")))
         found.append(part.agg(bounds.alias("all")).first()["all"])
     wide = [r for r in (found[1], found[3]) if r is not None]
