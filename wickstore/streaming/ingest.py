@@ -80,8 +80,8 @@ def ingest_candles(
     rejects = quarantine or f"{checkpoint.rstrip('/')}-quarantine"
     rows = checked_rows(candles, store)
     if watermark:
-        # A reject has no time of its own: it is told apart by its text and takes the earliest time, which
-        # does not move the watermark.
+        # A reject is told apart by its text. Its time stays null, which never is too late and does not move
+        # the watermark.
         valid = F.col("reject_reason").isNull()
         told_apart = {"_at": F.when(valid, F.timestamp_millis(F.col(TS))), "_bad": F.when(~valid, F.col("_raw"))}
         rows = (
