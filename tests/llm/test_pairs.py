@@ -323,3 +323,11 @@ def test_empty_tables(spark):
     assert lines.without_repeated_lines(docs).count() == 0
     assert decontaminate.contained_items(docs, items).count() == 0
     assert chunks.repeated_passages(docs).count() == 0
+
+
+def test_extension_reaches_over_a_long_chunk():
+    around = b"ab " * 900
+    text = b"q " + around + b"middle" + b" cd" * 900 + b" z"
+    begin, end = 2 + len(around), 2 + len(around) + 6
+    assert chunks.extended(text, begin, end, b"r " + around, b" cd" * 900 + b"!") == (2, end + 2700)
+    assert chunks.extended(text, begin, end, b"", b"") == (begin, end)

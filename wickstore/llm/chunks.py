@@ -16,11 +16,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wickstore.llm.common import kept_copy
+from wickstore.llm.common import drop_copy, settled_copy
 from wickstore.llm.text import filled, raw, slices
 
 WINDOW = 16
-#: Bytes on either side of a run of chunks that are compared with its first place.
+#: Least bytes on either side of a run of chunks that are compared with its first place; a longer chunk that
+#: adjoins the run is compared whole.
 MARGIN = 1024
 GEAR = np.random.default_rng(64).integers(0, 2**16, 256, dtype=np.uint16)
 
@@ -62,11 +63,11 @@ def cuts(data: np.ndarray, average: int, most: int) -> np.ndarray:
     return ends
 
 
-CHUNKS = "doc_id long, text_hash long, chunk int, start int, length int, digest long"
+CHUNKS = "doc_id long, text_hash long, chunk int, start int, length int, before int, after int, digest long"
 
 
 def chunked(docs: DataFrame, average: int, most: int) -> DataFrame:
-    """The chunks of every text (doc_id, text_hash, text): place in the text in bytes and 64-bit digest."""
+    """The chunks of every text (doc_id, text_hash, text): place in bytes, lengths of both neighbours, digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -85,42 +86,48 @@ def chunked(docs: DataFrame, average: int, most: int) -> DataFrame:
                     lengths.append(ends - begins)
                 rows = np.repeat(np.arange(len(counts)), counts)
                 first = np.cumsum(counts) - counts
+                sizes = np.concatenate(lengths).astype(np.int32)
+                own = np.arange(len(rows)) - first[rows]
+                before = np.where(own > 0, np.roll(sizes, 1), 0)
+                after = np.where(own + 1 < np.array(counts)[rows], np.roll(sizes, -1), 0)
                 yield pa.record_batch(
                     [
                         part.column("doc_id").take(pa.array(rows, pa.int64())),
                         part.column("text_hash").take(pa.array(rows, pa.int64())),
-                        pa.array((np.arange(len(rows)) - first[rows]).astype(np.int32)),
+                        pa.array(own.astype(np.int32)),
                         pa.array(np.concatenate(starts).astype(np.int32)),
-                        pa.array(np.concatenate(lengths).astype(np.int32)),
+                        *[pa.array(values.astype(np.int32)) for values in (sizes, before, after)],
                         pa.array(np.array(digests, np.uint64).view(np.int64)),
                     ],
-                    names=["doc_id", "text_hash", "chunk", "start", "length", "digest"],
+                    names=[column.split()[0] for column in CHUNKS.split(", ")],
                 )
 
     return docs.select("doc_id", "text_hash", "text").mapInArrow(run, CHUNKS)
 
 
 def margins(docs: DataFrame, links: DataFrame) -> DataFrame:
-    """(source_hash, a, b, before, after): up to ``MARGIN`` bytes around the bytes a to b of first places."""
+    """(source_hash, a, b, near, far, before, after): ``near`` and ``far`` bytes around the bytes a to b of first places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 text = (row["text"] or "").encode()
                 found = [
-                    (row["text_hash"], r["a"], r["b"], text[max(0, r["a"] - MARGIN) : r["a"]], text[r["b"] : r["b"] + MARGIN])
+                    (row["text_hash"], *r.values(), text[max(0, r["a"] - r["near"]) : r["a"]], text[r["b"] : r["b"] + r["far"]])
                     for r in row["ranges"]
                 ]
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+                kinds = (*[pa.int64()] * 5, pa.binary(), pa.binary())
                 yield pa.record_batch(
                     [pa.array(values, kind) for values, kind in zip(zip(*found), kinds)],
-                    names=["source_hash", "a", "b", "before", "after"],
+                    names=["source_hash", "a", "b", "near", "far", "before", "after"],
                 )
 
-    ranges = links.groupBy("source_id", "source_hash").agg(F.collect_set(F.struct("a", "b")).alias("ranges"))
+    ranges = links.groupBy("source_id", "source_hash").agg(
+        F.collect_set(F.struct("a", "b", "near", "far")).alias("ranges")
+    )
     same = F.col("doc_id").eqNullSafe(F.col("source_id")) & (F.col("text_hash") == F.col("source_hash"))
     rows = docs.join(ranges, same).select("text_hash", "text", "ranges").dropDuplicates(["text_hash"])
-    return rows.mapInArrow(run, "source_hash long, a long, b long, before binary, after binary")
+    return rows.mapInArrow(run, "source_hash long, a long, b long, near long, far long, before binary, after binary")
 
 
 LETTER = np.array([n >= 128 or chr(n).isalnum() for n in range(256)]).tolist()
@@ -137,8 +144,8 @@ def _shared(a: bytes, b: bytes) -> int:
 def extended(text: bytes, start: int, end: int, before: bytes, after: bytes) -> tuple[int, int]:
     """A run of chunks with the bytes around it that its first place has too, from whole word to whole word."""
     inside = lambda n: 0 < n < len(text) and LETTER[text[n - 1]] and LETTER[text[n]]
-    first = start - _shared(text[max(0, start - MARGIN) : start][::-1], before[::-1])
-    last = end + _shared(text[end : end + MARGIN], after)
+    first = start - _shared(text[max(0, start - len(before)) : start][::-1], before[::-1])
+    last = end + _shared(text[end : end + len(after)], after)
     a, b = first, last
     while a <= start and inside(a):
         a += 1
@@ -174,12 +181,15 @@ def spans(docs: DataFrame, links: DataFrame, least_bytes: int, least_words: int)
                 names = [column.split()[0] for column in SPANS.split(", ")]
                 yield pa.record_batch([pa.array(v, k) for v, k in zip(zip(*found), kinds)], names=names)
 
-    around = links.join(margins(docs, links), ["source_hash", "a", "b"])
+    bytes_around, path = settled_copy(margins(docs, links), "margins")
+    around = links.join(bytes_around, ["source_hash", "a", "b", "near", "far"])
     listed = around.groupBy(F.col("doc_id").alias("own_id"), F.col("text_hash").alias("own_hash")).agg(
         F.collect_list(F.struct("start", "end", "a", "n", "source_id", "source_hash", "before", "after")).alias("links")
     )
     same = F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("text_hash") == F.col("own_hash"))
-    return docs.join(listed, same).select("doc_id", "text_hash", "text", "links").mapInArrow(run, SPANS)
+    found, _ = settled_copy(docs.join(listed, same).select("doc_id", "text_hash", "text", "links").mapInArrow(run, SPANS), "spans")
+    drop_copy(docs.sparkSession, path)
+    return found
 
 
 def _merged(found: list[dict]) -> list[list]:
@@ -227,7 +237,7 @@ def repeated_passages(
 
     ``start`` and ``length`` count UTF-8 bytes. Each chunk that occurs more than once has a first place: the
     smallest doc_id that holds it, and there the smallest start. Runs of chunks whose first places adjoin too are
-    extended on both sides by the bytes that both places share, up to ``MARGIN``; those of ``least_bytes`` bytes or
+    extended on both sides by the bytes that both places share, over ``MARGIN`` bytes or the chunk that adjoins; those of ``least_bytes`` bytes or
     ``least_words`` words are passages, here and at the first place. So are runs of ``least_bytes`` bytes of chunks
     whose first places are scattered. A passage holds either first copies or repeats of an earlier place, never
     both, and ``is_first`` says which: a dedup that keeps first copies keeps the former and may drop the latter,
@@ -256,16 +266,18 @@ def repeated_passages(
         .agg(F.count("*").alias("n"), F.min(_place()).alias("first"))
         .filter("n > 1")
     )
-    shared, _ = kept_copy(places, "digests")
+    spark = docs.sparkSession
+    shared, shared_path = settled_copy(places, "digests")
     hits = chunks.join(shared, ["digest", "length"]).dropDuplicates(["doc_id", "text_hash", "chunk"])
-    hits, _ = kept_copy(
+    hits, hits_path = settled_copy(
         hits.select(
             "doc_id", "text_hash", "chunk", F.col("start").cast("long").alias("start"), (F.col("start") + F.col("length")).cast("long").alias("end"),
-            "n", (F.col("first") == _place()).alias("is_first"), F.col("first.doc_id").alias("source_id"),
+            "before", "after", "n", (F.col("first") == _place()).alias("is_first"), F.col("first.doc_id").alias("source_id"),
             F.col("first.text_hash").alias("source_hash"), F.col("first.start").cast("long").alias("a"),
         ),
         "hits",
     )
+    drop_copy(spark, shared_path)
     text = Window.partitionBy("doc_id", "text_hash", "is_first").orderBy("chunk")
     runs = (
         hits.withColumn("run", F.col("chunk") - F.row_number().over(text))
@@ -275,15 +287,47 @@ def repeated_passages(
         .select("doc_id", "text_hash", "start", "end", "first_doc_id", "n", "is_first")
     )
     line = ["doc_id", "text_hash", "source_id", "source_hash", "shift"]
-    later = hits.filter(~F.col("is_first")).withColumn("shift", F.col("start") - F.col("a"))
+    # Repeated chunks in a row, whatever their first places, one chunk on either side of them, and the bytes that
+    # decide on a cut: what a run shares with its first place ends there at the latest, as all cuts further inside
+    # are the same in both texts.
+    slack = average // 2 + WINDOW
+    whole = Window.partitionBy("doc_id", "text_hash")
+    area = Window.partitionBy("doc_id", "text_hash", "area")
+    areas = hits.withColumn("area", F.col("chunk") - F.row_number().over(whole.orderBy("chunk"))).withColumns(
+        {
+            "low": F.min(F.col("start") - F.col("before") - slack).over(area),
+            "high": F.max(F.col("end") + F.col("after") + slack).over(area),
+        }
+    )
+    later = areas.filter(~F.col("is_first")).withColumn("shift", F.col("start") - F.col("a"))
     links = (
         later.withColumn("run", F.col("chunk") - F.row_number().over(Window.partitionBy(*line).orderBy("chunk")))
         .groupBy(*line, "run")
-        .agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("a").alias("a"), F.max("n").alias("n"))
+        .agg(
+            F.min("start").alias("start"),
+            F.max("end").alias("end"),
+            F.min("a").alias("a"),
+            F.max("n").alias("n"),
+            F.min_by("before", "chunk").alias("before"),
+            F.max_by("after", "chunk").alias("after"),
+            F.min("low").alias("low"),
+            F.max("high").alias("high"),
+        )
         .withColumn("b", F.col("end") - F.col("shift"))
     )
-    links, _ = kept_copy(links.drop("shift", "run"), "links")
+    # An area too short for a passage holds none: fifty words have forty-nine blanks between them.
+    links = links.filter(F.col("high") - F.col("low") >= min(least_bytes, 2 * least_words - 1))
+    reach = {
+        "near": F.least(F.col("start") - F.col("low"), F.greatest(F.lit(MARGIN), F.col("before") + slack)),
+        "far": F.least(F.col("high") - F.col("end"), F.greatest(F.lit(MARGIN), F.col("after") + slack)),
+    }
+    links = links.withColumns({name: bound.cast("long") for name, bound in reach.items()})
+    links = links.drop("shift", "run", "before", "after", "low", "high")
+    links, links_path = settled_copy(links, "links")
     found = runs.union(spans(docs, links, least_bytes, least_words))
+    found, _ = settled_copy(found, "found")
+    drop_copy(spark, links_path)
+    drop_copy(spark, hits_path)
     once = found.groupBy("doc_id", "text_hash", "start", "end", "is_first").agg(
         F.max("first_doc_id").alias("first_doc_id"), F.max("n").alias("n")
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wickstore.session import delete_path, scratch_path
+from wickstore.session import delete_path, scratch_path, session_setting
 
 #: Ids that a broadcast may carry, about 16 bytes each; beyond it the join shuffles both sides.
 MOST_BROADCAST_IDS = 500_000
@@ -29,6 +29,12 @@ def kept_copy(df: DataFrame, label: str, **options: str) -> tuple[DataFrame, str
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def settled_copy(df: DataFrame, label: str, **options: str) -> tuple[DataFrame, str]:
+    """As ``kept_copy``; the shuffle files of the work go when it is done, not when the driver collects garbage."""
+    with session_setting(df, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        return kept_copy(df, label, **options)
+
+
 def drop_copy(spark: SparkSession, path: str) -> None:
     if path in _copies:
         _copies.remove(path)
