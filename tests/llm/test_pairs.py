@@ -1,6 +1,7 @@
 """Line dedup, near-duplicates, decontamination and repeated chunks against plain versions."""
 
 import random
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -11,6 +12,7 @@ from wickstore.llm import chunks, decontaminate, lines, minhash
 from wickstore.llm.common import table
 from wickstore.llm.graph import components
 from wickstore.llm.queries import ORACLES, QUERIES
+from wickstore.session import scratch_root
 
 
 def vocabulary(rng, n=400):
@@ -175,6 +177,78 @@ def test_lines_match_brute_force(spark, monkeypatch):
             assert d not in kept
 
 
+def test_lines_at_the_edges_of_length_classes_match_brute_force(spark):
+    """Lines of 20 to 134 characters, edited anywhere, ends and both sides of a length class among them."""
+    rng = random.Random(4)
+
+    def changed(text, k):
+        letters = list(text)
+        for _ in range(k):
+            n = rng.choice([0, rng.randrange(len(letters)), len(letters) - 1])
+            letters[n : n + rng.randint(0, 1)] = rng.choice(["", "q", "é", "zz"])
+        return "".join(letters)
+
+    kinds = []
+    for size in (20, 23, 24, 31, 32, 47, 48, 63, 64, 65, 96, 97, 127, 128, 129, 130):
+        base = "".join(rng.choice("abcdefé日") for _ in range(size))
+        kinds.append([base, *(changed(base, rng.randint(1, 3)) for _ in range(9))])
+    texts = [line for group in kinds for line in dict.fromkeys(group) if len(line) >= 20]
+    degree = {
+        n: sum(abs(len(a) - len(b)) <= 2 and n != m and edits(a, b) <= 2 for m, b in enumerate(texts))
+        for n, a in enumerate(texts)
+    }
+    got = lines.deduplicated_lines(documents(spark, texts)).collect()
+    assert {r.doc_id: r.n_links for r in got} == degree
+    assert sum(degree.values()) > 300
+
+
+def test_letter_counts_differ_as_counted(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(6)
+    rows = [tuple("".join(rng.choice("eett hnq,") for _ in range(rng.randint(0, 90))) for _ in "ab") for _ in range(60)]
+
+    def gap(a, b):
+        gaps = [(a.count(c) - b.count(c)) % 16 for c in lines.LETTERS]
+        return sum(min(g, 16 - g) for g in gaps)
+
+    sides = [
+        spark.createDataFrame(list(enumerate(side)), "n int, line string").select("n", lines._letters().alias(name))
+        for side, name in zip(zip(*rows), "ab")
+    ]
+    got = sides[0].join(sides[1], "n").select("n", lines._apart(F.col("a"), F.col("b")).alias("d")).collect()
+    assert {r.n: r.d for r in got} == {n: gap(a, b) for n, (a, b) in enumerate(rows)}
+
+
+def test_lines_without_a_partner_cost_little_disk(spark, monkeypatch):
+    """Copies and shuffle files after each write of a copy, by the text's size: texts that meet no other stay unwritten."""
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    rng = random.Random(2)
+    texts = ["\n".join(rng.randbytes(150).hex() for _ in range(20)) for _ in range(400)]
+    docs = documents(spark, texts).repartition(4)
+    docs, path = lines.kept_copy(docs, "docs")
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    root = Path(scratch_root(spark).removeprefix("file:"))
+
+    def used():
+        shuffled = disk.getAllFiles().toSeq()
+        return sum(f.stat().st_size for f in root.rglob("*") if f.is_file()) + sum(
+            shuffled.apply(n).length() for n in range(shuffled.size())
+        )
+
+    before, seen, write = used(), [], DataFrameWriter.parquet
+
+    def watched(self, *args, **options):
+        write(self, *args, **options)
+        seen.append(used() - before)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", watched)
+    assert lines.deduplicated_lines(docs).filter("kept").count() == 8000
+    assert 0 < max(seen) < sum(map(len, texts))
+    lines.drop_copy(spark, path)
+
+
 def test_short_lines_are_grouped_when_equal(spark, tmp_path):
     rows = [(1, "Home\n\nShare\nthis line is long enough here"), (2, " Home \nHomes\nthis line is long enough, here"), (3, "Home")]
     documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")

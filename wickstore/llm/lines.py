@@ -1,9 +1,11 @@
 """Near-duplicate lines by a segment-partition edit join, in DataFrame functions only.
 
-A line of length L is cut into ``edits + 1`` segments. Two lines within ``edits`` edits share one of them, at a
-place that depends on both lengths; each line therefore probes the segments that lines of its own or a
-slightly smaller length can have, at the few places where they can stand. Pairs that meet are verified by
-banded bit-parallel edit distance.
+Lines are put into classes of like length, and a line is cut into ``edits + 1`` segments that its class fixes, the
+first ones counted from its start and the last ones from its end. Two lines within ``edits`` edits share a segment of
+the shorter one, at most a few characters away; each line therefore probes the segments of the classes that it or a
+slightly shorter line has, at the few places where they can stand. Most segments stand in one line only, which an
+aggregate of the keys shows; the lines that are left meet in a join, and pairs that meet are verified by banded
+bit-parallel edit distance.
 """
 
 from __future__ import annotations
@@ -11,48 +13,80 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wickstore.llm.common import drop_copy, kept_copy, rows_with
+from wickstore.llm.common import drop_copy, kept_copy, rows_with, settled_copy
 from wickstore.llm.graph import components
 
 EDITS = 2
 #: Lines with fewer characters are only compared exactly: within a few edits they are not the same line.
 LEAST_CHARS = 20
 BLANK = " \t\v\f\r"
-#: Characters whose counts keep distant lines apart before their texts are fetched; any sixteen will do.
-LETTERS = "ethnoarisdlcu ,."
+#: Characters whose counts keep distant lines apart before their texts are fetched; any fifteen will do.
+LETTERS = "ethnoarisdlcu ,"
 #: Parts of a line that are compared in place before the edit distance is computed.
 PARTS = 8
 #: Lines that a document may have; a position is doc_id * LINES + line number.
 LINES = 1_000_000_000
 
 
-def lines_of(docs: DataFrame, short: bool = False) -> DataFrame:
-    """(doc_id, line_no, line, position): trimmed lines of ``LEAST_CHARS`` characters; if ``short``, of any but none."""
+def _padded(line: str) -> Column:
+    """Whether a blank stands at either end; trimming costs far more than this test."""
+    found = F.lit(False)
+    for blank in BLANK:
+        found = found | F.startswith(line, F.lit(blank)) | F.endswith(line, F.lit(blank))
+    return found
+
+
+def _position() -> Column:
     number = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).cast("decimal(38,0)")
+    return (number * LINES + F.col("line_no")).cast("decimal(38,0)")
+
+
+def lines_of(docs: DataFrame, short: bool = False) -> DataFrame:
+    """(doc_id, line_no, line): trimmed lines of ``LEAST_CHARS`` characters; if ``short``, of any but none."""
     return (
         docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-        .withColumn("line", F.btrim("line", F.lit(BLANK)))
+        .withColumn("line", F.when(_padded("line"), F.btrim("line", F.lit(BLANK))).otherwise(F.col("line")))
         .filter(F.char_length("line") >= (1 if short else LEAST_CHARS))
-        .withColumn("position", (number * LINES + F.col("line_no")).cast("decimal(38,0)"))
     )
 
 
-def _start(length: Column, segment: int, parts: int) -> Column:
-    """First character (from 1) of a segment; the last segments are one longer where it doesn't divide."""
-    short = F.floor(length / parts).cast("int")
-    longer = F.greatest(F.lit(0), F.lit(segment) - (F.lit(parts) - length % parts))
-    return short * segment + longer + 1
+def _class(length: Column) -> Column:
+    """The length with all but its first three bits zero: a line of the class has at least so many characters."""
+    spare = F.greatest(F.lit(0), F.floor(F.log2(length)).cast("int") - 2)
+    return F.call_function("shiftleft", F.call_function("shiftright", length, spare), spare)
 
 
-def _size(length: Column, segment: int, parts: int) -> Column:
-    return F.floor(length / parts).cast("int") + F.when(
-        F.lit(segment) >= F.lit(parts) - length % parts, 1
-    ).otherwise(0)
+def _key(size: Column, segment: int, shift: int, edits: int) -> Column:
+    """Hash of a segment of the class, ``shift`` characters from its place in the line."""
+    if segment <= edits - segment:
+        first = size * segment + (1 + shift)
+    else:
+        first = F.col("chars") - size * (edits + 1 - segment) + (1 + shift)
+    return F.xxhash64("class", F.lit(segment), F.substring(F.col("line"), first, size))
 
 
-def _key(length: Column, segment: int, parts: int, first: Column) -> Column:
-    piece = F.substring(F.col("line"), first, _size(length, segment, parts))
-    return F.xxhash64(length, F.lit(segment), piece)
+def keyed(lines: DataFrame, edits: int) -> DataFrame:
+    """``lines`` (with ``line``) with ``own`` and ``keys``, a row for each class that a line looks into.
+
+    The row of the line's own class is ``own``; its first ``edits + 1`` keys are those of its segments, the others
+    places where the segments of another line may stand. Only lines of ``LEAST_CHARS`` characters have keys.
+    """
+    length, spare = F.col("chars"), range(edits + 1)
+    classes = F.array_distinct(F.array(*[_class(length - shorter) for shorter in spare]))
+    classes = F.when(length >= LEAST_CHARS, classes).otherwise(F.array(F.lit(0)))
+    size = F.floor(F.col("class") / (edits + 1)).cast("int")
+    # An untouched segment has as many edits before it as segments; the others stand behind it.
+    reach = [min(s, edits - s) for s in spare]
+    places = [(s, 0) for s in spare] + [(s, n) for s in spare for n in range(-reach[s], reach[s] + 1) if n]
+    keys = F.array(*[_key(F.col("size"), s, n, edits) for s, n in places])
+    return (
+        lines.withColumn("chars", F.char_length("line"))
+        .select("*", F.posexplode(classes).alias("other", "class"))
+        .withColumn("size", size)
+        .withColumn("keys", F.when(length >= LEAST_CHARS, keys))
+        .withColumn("own", F.col("other") == 0)
+        .drop("other", "class", "size")
+    )
 
 
 def _letters() -> Column:
@@ -65,13 +99,17 @@ def _letters() -> Column:
 
 
 def _apart(a: Column, b: Column) -> Column:
-    """At most the sum of the differences of two letter counts; an edit adds two at most."""
-    total = F.lit(0).cast("long")
-    for n in range(len(LETTERS)):
-        nibble = lambda x: F.shiftrightunsigned(x, 4 * n).bitwiseAND(F.lit(15).cast("long"))  # noqa: B023, E731
-        gap = F.abs(nibble(a) - nibble(b))
-        total = total + F.least(gap, 16 - gap)
-    return total
+    """At most the sum of the differences of two letter counts; an edit adds two at most. All counts at once."""
+    digits = len(LETTERS)
+    high, low = (F.lit(int(d * digits, 16)).cast("long") for d in ("8", "7"))
+    bits = lambda text: F.lit(int(text, 16)).cast("long")
+    gap = a.bitwiseOR(high) - b.bitwiseAND(low)
+    gap = gap.bitwiseXOR(a.bitwiseXOR(b).bitwiseXOR(high).bitwiseAND(high))
+    over = F.shiftright(gap.bitwiseAND(high), 3)
+    gap = gap.bitwiseXOR(over * 15) + over
+    for mask, width in (("0f" * 8, 4), ("00ff" * 4, 8), ("0000ffff" * 2, 16), ("00000000ffffffff", 32)):
+        gap = gap.bitwiseAND(bits(mask)) + F.shiftright(gap, width).bitwiseAND(bits(mask))
+    return gap
 
 
 def _parts_alike(a: Column, b: Column, edits: int) -> Column:
@@ -89,26 +127,6 @@ def _parts_alike(a: Column, b: Column, edits: int) -> Column:
     return alike >= PARTS - edits
 
 
-def _indexed(lines: DataFrame, edits: int) -> DataFrame:
-    length = F.col("chars")
-    keys = [_key(length, s, edits + 1, _start(length, s, edits + 1)) for s in range(edits + 1)]
-    return lines.select("id", "letters", F.explode(F.array(*keys)).alias("key"))
-
-
-def _probes(lines: DataFrame, edits: int) -> DataFrame:
-    """Keys that another line's segment can have, besides those that a line of equal length has in place."""
-    length, keys = F.col("chars"), []
-    for shorter in range(edits + 1):
-        indexed = length - shorter
-        for s in range(edits + 1):
-            left = range(-s, s + 1)
-            right = range(shorter - (edits - s), shorter + (edits - s) + 1)
-            for shift in sorted(set(left) & set(right)):
-                if shorter or shift:
-                    keys.append(_key(indexed, s, edits + 1, _start(indexed, s, edits + 1) + shift))
-    return lines.select("id", "letters", F.explode(F.array(*keys)).alias("key"))
-
-
 def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
@@ -125,7 +143,7 @@ def within_edits(a: Column, b: Column, edits: int) -> Column:
     full, top = (1 << width) - 1, 1 << (width - 1)
     bits = lambda n: F.lit(n).cast("long")
     x, y = F.split(a, ""), F.split(b, "")
-    m, n = F.size(x), F.size(y)
+    m, n = F.char_length(a), F.char_length(b)
     padding = F.array_repeat(F.lit(""), edits)
     padded = F.concat(padding, x, F.array_repeat(F.lit(""), edits * 2 + 1))
 
@@ -172,73 +190,119 @@ def within_edits(a: Column, b: Column, edits: int) -> Column:
     return (n - m <= edits) & (F.aggregate(columns, start, step, lambda state: state["score"]) <= edits)
 
 
-def linked_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
-    """(a, b): positions of different lines within ``edits`` edits. ``lines``: distinct (line, letters, position).
+def _trimmed(pair: Column, edits: int) -> Column:
+    """``x`` and ``y`` without the characters they begin with alike, backwards; ``edits + 1`` of ``x`` stay."""
+    x, y = pair["x"], pair["y"]
+
+    def longer(same: Column, step: Column) -> Column:
+        alike = F.substring(x, same + 1, step) == F.substring(y, same + 1, step)
+        fits = same + step < F.char_length(x) - edits
+        return F.when(fits & alike, same + step).otherwise(same)
+
+    same = F.aggregate(F.array(*[F.lit(1 << n) for n in range(15, -1, -1)]), F.lit(0), longer)
+    rest = lambda text, n: F.reverse(F.substring(text, n + 1, F.char_length(text)))
+    return _let(same, lambda n: F.struct(rest(x, n).alias("x"), rest(y, n).alias("y")))
+
+
+def _verified(x: Column, y: Column, edits: int) -> Column:
+    """``within_edits`` of what two texts don't begin and end with alike."""
+    pair = _trimmed(F.struct(x.alias("x"), y.alias("y")), edits)
+    pair = _let(pair, lambda p: _trimmed(p, edits))
+    return _let(pair, lambda p: within_edits(p["x"], p["y"], edits))
+
+
+def _shared_keys(places: DataFrame, edits: int) -> tuple[DataFrame, str]:
+    """(key, id, indexed): the keys of several lines, each line once; ``indexed``: it is of the line's segments."""
+    spark = places.sparkSession
+    indexed = F.col("own") & (F.col("at") <= edits)
+    rows = places.select(F.col("h1").alias("id"), "own", F.posexplode("keys").alias("at", "key"))
+    several = rows.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first != last")
+    several, path = settled_copy(several.select("key"), "several")
+    rows = rows_with(rows.select("key", "id", indexed.alias("indexed")), several, "key", several.count())
+    shared, shared_path = settled_copy(rows.distinct(), "shared")
+    drop_copy(spark, path)
+    return shared, shared_path
+
+
+def linked_lines(docs: DataFrame, places: DataFrame, edits: int = EDITS) -> tuple[DataFrame, DataFrame]:
+    """(a, b, p, q): hashes and first positions of different lines within ``edits`` edits; (h1, h2, position) of these
+    lines and others.
 
     Lines that share a segment meet in a sort-merge join, which Spark splits where one segment is common;
-    letter counts that two lines within reach cannot differ in by much keep the others from becoming rows.
+    lengths and letter counts that two lines within reach cannot differ in by much keep the others from
+    becoming rows.
     """
-    sized = lines.select(
-        F.xxhash64("line").alias("id"), F.char_length("line").alias("chars"), "letters", "line"
+    spark = docs.sparkSession
+    shared, shared_path = _shared_keys(places, edits)
+    ids, ids_path = settled_copy(shared.select("id").distinct(), "ids")
+    lines = lines_of(docs).withColumn("id", F.xxhash64("line"))
+    lines = rows_with(lines, ids, "id", ids.count()).groupBy("id", "line").agg(F.min(_position()).alias("position"))
+    texts, texts_path = settled_copy(
+        lines.withColumn("letters", _letters()).withColumn("chars", F.char_length("line")), "texts"
     )
-    left = _indexed(sized, edits)
+    met, met_path = settled_copy(shared.join(texts.select("id", "letters", "chars"), "id"), "met")
+    left = met.filter("indexed").drop("indexed")
     near = _apart(F.col("letters"), F.col("q_letters")) <= 2 * edits
+    like = F.abs(F.col("chars") - F.col("q_chars")) <= edits
     sides = []
-    for probes, order in ((left, F.col("id") < F.col("q_id")), (_probes(sized, edits), F.col("id") != F.col("q_id"))):
-        named = probes.select("key", F.col("id").alias("q_id"), F.col("letters").alias("q_letters"))
-        met = left.hint("merge").join(named, "key").filter(near & order)
-        sides.append(met.select(F.least("id", "q_id").alias("a"), F.greatest("id", "q_id").alias("b")))
-    pairs, path = kept_copy(sides[0].union(sides[1]).distinct(), "pairs")
-    ids, ids_path = kept_copy(
-        pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "ids"
-    )
-    texts = rows_with(lines.withColumn("id", F.xxhash64("line")), ids, "id", ids.count())
-    texts, texts_path = kept_copy(texts.select("id", "line", "position"), "texts")
+    for probes, order in (
+        (left, F.col("id") < F.col("q_id")),
+        (met.filter("not indexed"), F.col("id") != F.col("q_id")),
+    ):
+        named = probes.select("key", *[F.col(c).alias(f"q_{c}") for c in ("id", "letters", "chars")])
+        pairs = left.hint("merge").join(named, "key").filter(order & like & near)
+        sides.append(pairs.select(F.least("id", "q_id").alias("a"), F.greatest("id", "q_id").alias("b")))
+    pairs, path = settled_copy(sides[0].union(sides[1]).distinct(), "pairs")
     x = texts.select(F.col("id").alias("a"), F.col("line").alias("x"), F.col("position").alias("p"))
     y = texts.select(F.col("id").alias("b"), F.col("line").alias("y"), F.col("position").alias("q"))
     both = pairs.join(x, "a").join(y, "b")
     shorter = F.char_length("x") <= F.char_length("y")
     both = both.select(
-        "p", "q", F.when(shorter, F.col("x")).otherwise(F.col("y")).alias("x"),
+        "a", "b", "p", "q", F.when(shorter, F.col("x")).otherwise(F.col("y")).alias("x"),
         F.when(shorter, F.col("y")).otherwise(F.col("x")).alias("y"),
     ).filter(_parts_alike(F.col("x"), F.col("y"), edits))
-    verified = within_edits(F.col("x"), F.col("y"), edits)
-    links, _ = kept_copy(both.filter(verified).select(F.col("p").alias("a"), F.col("q").alias("b")), "links")
-    for used in (path, ids_path, texts_path):
-        drop_copy(lines.sparkSession, used)
-    return links
+    verified = _verified(F.col("x"), F.col("y"), edits)
+    links, _ = settled_copy(both.filter(verified).select("a", "b", "p", "q"), "links")
+    hashes = texts.select(F.col("id").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), "position")
+    hashes, _ = settled_copy(hashes, "hashes")
+    for used in (shared_path, ids_path, texts_path, met_path, path):
+        drop_copy(spark, used)
+    return links, hashes
 
 
-def line_classes(docs: DataFrame, edits: int = EDITS, short: bool = False) -> DataFrame:
-    """(h1, h2, n_copies, n_links, first): classes of the lines that are repeated or linked.
+def line_classes(docs: DataFrame, edits: int = EDITS, short: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(h1, h2, n_copies, n_links, number, line): classes of the lines that are repeated or linked; places of all lines.
 
     Lines are told by two hashes of their trimmed text. ``n_copies`` counts its places, ``n_links`` the
-    different lines within ``edits`` edits, ``first`` is the smallest position of the whole class.
+    different lines within ``edits`` edits, ``number`` and ``line`` name the first place of the whole class, by doc_id (null:
+    the smallest long) and line number. Places: doc_id, line_no, h1, h2.
     """
     spark = docs.sparkSession
-    lines = lines_of(docs, short).groupBy("line").agg(F.min("position").alias("position"), F.count("*").alias("n_copies"))
-    lines, path = kept_copy(lines.withColumn("letters", _letters()), "lines")
-    links = linked_lines(lines.filter(F.char_length("line") >= LEAST_CHARS), edits)
-    labels = components(links, "a", "b")
-    ends = links.select(F.col("a").alias("position")).union(links.select(F.col("b").alias("position")))
-    degrees = ends.groupBy("position").agg(F.count("*").alias("n_links"))
-    linked = labels.select(F.col("node").alias("position"), F.col("component").alias("first")).join(degrees, "position")
-    coded = lines.select("position", "n_copies", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
-    classes = (
-        coded.join(linked, "position", "left")
-        .filter("n_copies > 1 or n_links > 0")
-        .select("h1", "h2", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("first", "position").alias("first"))
+    hashes = F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")
+    rows, _ = settled_copy(keyed(lines_of(docs, short), edits).select("doc_id", "line_no", *hashes, "own", "keys"), "places")
+    places = rows.filter("own").select("doc_id", "line_no", "h1", "h2")
+    links, found = linked_lines(docs, rows, edits)
+    labels = components(links, "p", "q").withColumnRenamed("node", "position")
+    ends = links.select(F.col("a").alias("h1")).union(links.select(F.col("b").alias("h1")))
+    degrees = ends.groupBy("h1").agg(F.count("*").alias("n_links"))
+    linked = found.join(degrees, "h1").join(labels, "position").drop("position")
+    repeated = (
+        places.groupBy("h1", "h2")
+        .agg(F.min(_position()).alias("position"), F.count("*").alias("n_copies"))
+        .filter("n_copies > 1")
     )
-    classes, _ = kept_copy(classes, "classes")
-    drop_copy(spark, path)
-    return classes
+    first = F.coalesce("component", "position")
+    number = F.floor(first / LINES)
+    classes = repeated.join(linked, ["h1", "h2"], "full").select(
+        "h1", "h2", F.coalesce("n_copies", F.lit(1)).alias("n_copies"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        number.cast("long").alias("number"), (first - number * LINES).cast("long").alias("line"),
+    )
+    classes, _ = settled_copy(classes, "classes")
+    return classes, places
 
 
-def _marked(docs: DataFrame, classes: DataFrame, short: bool) -> DataFrame:
-    lines = lines_of(docs, short).select(
-        "doc_id", "line_no", "position", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")
-    )
-    return lines.join(classes, ["h1", "h2"], "left")
+def _first_place() -> Column:
+    return (F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))) == F.col("number")) & (F.col("line_no") == F.col("line"))
 
 
 def deduplicated_lines(docs: DataFrame, edits: int = EDITS, short: bool = False) -> DataFrame:
@@ -253,17 +317,17 @@ def deduplicated_lines(docs: DataFrame, edits: int = EDITS, short: bool = False)
     count as the same document, so equal lines at equal places stay together. Further columns are ignored; an
     empty table gives an empty result.
     """
-    marked = _marked(docs, line_classes(docs, edits, short), short)
-    first = F.coalesce("first", "position")
-    number = F.floor(first / LINES)
+    classes, places = line_classes(docs, edits, short)
+    marked = places.join(classes, ["h1", "h2"], "left")
+    alone, no_id = F.col("n_copies").isNull(), F.lit(-(2**63))
     return marked.select(
         "doc_id",
         F.col("line_no").cast("long").alias("line_no"),
-        F.when(number == F.lit(-(2**63)), F.lit(None)).otherwise(number).cast("long").alias("class_doc_id"),
-        (first - number * LINES).cast("long").alias("class_line_no"),
+        F.when(alone, F.col("doc_id").cast("long")).otherwise(F.nullif("number", no_id)).alias("class_doc_id"),
+        F.when(alone, F.col("line_no").cast("long")).otherwise(F.col("line")).alias("class_line_no"),
         F.coalesce("n_copies", F.lit(1)).alias("n_copies"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
-        (first == F.col("position")).alias("kept"),
+        (alone | _first_place()).alias("kept"),
     )
 
 
@@ -273,8 +337,8 @@ def without_repeated_lines(docs: DataFrame, edits: int = EDITS, short: bool = Fa
     ``n_chars`` is counted anew where the table has it. Documents that lose lines and have none but blank ones
     left are dropped; documents that were null, empty or blank before stay as they are.
     """
-    classes = line_classes(docs, edits, short)
-    again = _marked(docs, classes, short).filter("first is not null and first != position")
+    classes, places = line_classes(docs, edits, short)
+    again = places.join(classes, ["h1", "h2"]).filter(~_first_place())
     gone = again.groupBy("doc_id").agg(
         F.collect_set(F.struct("line_no", F.col("h1"))).alias("_gone")
     ).withColumnRenamed("doc_id", "_id")
