@@ -3,12 +3,15 @@
 import math
 import random
 import struct
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,6 +108,44 @@ def test_packing_query_wastes_little(spark, sf_dir):
     assert check_packing(QUERIES["op9_packing"](spark, sf_dir).collect(), texts) < 0.03
 
 
+EMPTY_SHARD = kneser_ney.Shard(np.zeros(0, np.int64), np.zeros(0), 0, 1)
+
+
+class Grabbed:
+    """Stands for a table and keeps the function that would run over its batches."""
+
+    def mapInArrow(self, run, schema):
+        self.run = run
+        return self
+
+    def __getattr__(self, name):
+        return lambda *args, **kwargs: self
+
+
+@pytest.mark.parametrize(
+    "made, most",
+    [
+        (lambda docs: packing.pieces(docs, public_tokenizers.path(WORDS), 1), 45),
+        (kneser_ney.gram_counts, 130),
+        (lambda docs: kneser_ney._scored(docs, SimpleNamespace(value=EMPTY_SHARD)), 190),
+    ],
+)
+def test_workers_hold_little_beside_a_batch(spark, made, most):
+    rng = random.Random(8)
+    names = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(5000)]
+    texts = [" ".join(rng.choices(names, k=300)) for _ in range(4000)]
+    columns = {"doc_id": range(4000), "row": range(4000), "half": [0] * 4000, "lang": ["en"] * 4000, "text": texts}
+    batch = pa.record_batch({c: pa.array(v) for c, v in columns.items()})
+    docs = Grabbed()
+    made(docs)
+    tracemalloc.start()
+    try:
+        assert sum(b.num_rows for b in docs.run([batch]))
+        assert tracemalloc.get_traced_memory()[1] < most << 20
+    finally:
+        tracemalloc.stop()
+
+
 def test_differencing_is_even_and_grows():
     rng = random.Random(1)
     sizes = [rng.randint(1, 512) for _ in range(400)]

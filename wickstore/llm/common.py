@@ -35,6 +35,11 @@ def settled_copy(df: DataFrame, label: str, **options: str) -> tuple[DataFrame,
         return kept_copy(df, label, **options)
 
 
+def small_batches(df: DataFrame):
+    """Work on ``df`` inside the block passes 4 MB at a time to Python, not 64 MB; both sides hold whole batches."""
+    return session_setting(df, "spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+
+
 def drop_copy(spark: SparkSession, path: str) -> None:
     if path in _copies:
         _copies.remove(path)

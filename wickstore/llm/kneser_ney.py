@@ -18,8 +18,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wickstore.llm.common import drop_copy, kept_copy, rows_with, rows_without
-from wickstore.llm.text import filled, raw, slices
+from wickstore.llm.common import drop_copy, kept_copy, rows_with, rows_without, small_batches
+from wickstore.llm.text import SMALL_SLICE_BYTES, filled, raw, slices
 
 ORDER = 5
 #: Entries of one shard of the model, 12 bytes each in every worker.
@@ -62,7 +62,7 @@ def gram_counts(texts: DataFrame) -> DataFrame:
             )
 
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=SMALL_SLICE_BYTES):
                 data, offsets = raw(filled(part.column("text")))
                 half = part.column("half").to_numpy().astype(np.int64)
                 own = grams(data, offsets) | np.repeat(half, np.diff(offsets)) << (8 * ORDER)
@@ -234,7 +234,7 @@ def scores(docs: DataFrame, entries: DataFrame, size: int) -> DataFrame:
 def _scored(docs: DataFrame, shard) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, limit=4 << 20):
+            for part in slices(batch, limit=SMALL_SLICE_BYTES):
                 data, offsets = raw(filled(part.column("text")))
                 yield pa.record_batch(
                     [
@@ -281,12 +281,14 @@ def rated(docs: DataFrame, trusted: DataFrame, low: float = 0.001, high: float =
     trusted, _ = kept_copy(trusted.withColumn("half", half.cast("int")), "trusted")
     size = trusted.count()
     texts = rows_with(docs.select("doc_id", "text"), trusted, "doc_id", size).withColumn("half", half)
-    counts, counts_path = kept_copy(gram_counts(texts), "grams")
+    with small_batches(docs):
+        counts, counts_path = kept_copy(gram_counts(texts), "grams")
     entries, entries_path = model(counts)
     drop_copy(docs.sparkSession, counts_path)
     whole = entries.filter(F.col("model") == WHOLE)
-    rows, _ = kept_copy(scores(docs, whole, whole.count()), "scores")
-    held, _ = kept_copy(left_out(docs, entries, trusted, size), "held")
+    with small_batches(docs):
+        rows, _ = kept_copy(scores(docs, whole, whole.count()), "scores")
+        held, _ = kept_copy(left_out(docs, entries, trusted, size), "held")
     drop_copy(docs.sparkSession, entries_path)
     rows = rows.withColumn("perplexity", F.when(F.col("n_bytes") > 0, F.exp(-F.col("log_p") / F.col("n_bytes"))))
     known = rows.join(trusted, "doc_id", "left_semi").filter("perplexity is not null").select("lang", "perplexity")

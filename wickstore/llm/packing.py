@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wickstore.llm.common import kept_copy
+from wickstore.llm.common import kept_copy, small_batches
+from wickstore.llm.text import SMALL_SLICE_BYTES
 from wickstore.llm.tokens import encode_batches
 
 CAPACITY = 2048
@@ -67,7 +68,7 @@ def pieces(docs: DataFrame, tokenizer: str, end: int) -> DataFrame:
     """Full windows and smaller pieces of each document's ids, with their checksums."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, ids, starts in encode_batches(tokenizer, batches):
+        for part, ids, starts in encode_batches(tokenizer, batches, limit=SMALL_SLICE_BYTES):
             data = memoryview(ids.astype("<u4").tobytes())
             tail = int(end).to_bytes(4, "little")
             rows: list[tuple] = []
@@ -100,7 +101,8 @@ def sequences(docs: DataFrame, tokenizer: str, end: int = 1) -> DataFrame:
     unique, not gapless. Repeated rows are rows of their own; further columns are ignored; an empty table
     gives an empty result.
     """
-    cut, _ = kept_copy(pieces(docs, tokenizer, end), "pieces")
+    with small_batches(docs):
+        cut, _ = kept_copy(pieces(docs, tokenizer, end), "pieces")
     cut = cut.withColumn("row", F.monotonically_increasing_id())
     whole = cut.filter(F.col("length") == CAPACITY).select(
         *[c for c in cut.columns if c != "row"],

@@ -12,6 +12,8 @@ import xxhash
 
 SHINGLE = 5
 SLICE_BYTES = 8 << 20
+#: For work that needs many times the bytes of its text.
+SMALL_SLICE_BYTES = 2 << 20
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 

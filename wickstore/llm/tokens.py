@@ -13,7 +13,7 @@ import regex
 import xxhash
 from tokenizers import Tokenizer
 
-from wickstore.llm.text import filled, raw, slices
+from wickstore.llm.text import SLICE_BYTES, filled, raw, slices
 
 # How the two vocabularies cut a text into pre-tokens.
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[\p{L}]+| ?[\p{N}]+| ?[^\s\p{L}\p{N}]+|[\s]+(?![^\s])|[\s]+"
@@ -210,10 +210,10 @@ def encoder(path: str) -> TextEncoder:
     return _encoders[path]
 
 
-def encode_batches(path: str, batches, column: str = "text"):
-    """Each slice of rows with its ids and their starts."""
+def encode_batches(path: str, batches, column: str = "text", limit: int = SLICE_BYTES):
+    """Each slice of rows, of about ``limit`` bytes of text, with its ids and their starts."""
     encode = encoder(path).encode
     for batch in batches:
-        for part in slices(batch, column):
+        for part in slices(batch, column, limit):
             ids, starts = encode(filled(part.column(column)))
             yield part, ids, starts
